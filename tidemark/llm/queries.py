@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .bpe_dp import op8_bpe_codec
+from .token_sst import op10_token_sst
 
 QUERIES = {
     "op8_bpe_codec": op8_bpe_codec,
+    "op10_token_sst": op10_token_sst,
 }
 
 ORACLE_SQL: dict[str, str] = {}
