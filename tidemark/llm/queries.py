@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .bpe_dp import op8_bpe_codec
+from .pii_feistel import op1_pii_pseudonyms
 from .token_sst import op10_token_sst
 
 QUERIES = {
+    "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op8_bpe_codec": op8_bpe_codec,
     "op10_token_sst": op10_token_sst,
 }
