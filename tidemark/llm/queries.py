@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe_dp import op8_bpe_codec
 from .html_paths import op4_html_paths
 from .kn_language import op9_language_kn
+from .near_jaccard import op6_near_jaccard
 from .pii_feistel import op1_pii_pseudonyms
 from .quality_ri import op5_quality_ri
 from .token_sst import op10_token_sst
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op4_html_paths": op4_html_paths,
     "op5_quality_ri": op5_quality_ri,
+    "op6_near_jaccard": op6_near_jaccard,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_language_kn": op9_language_kn,
     "op10_token_sst": op10_token_sst,
