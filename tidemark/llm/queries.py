@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe_dp import op8_bpe_codec
+from .decontaminate import op7_template_decontamination
 from .html_paths import op4_html_paths
 from .kn_language import op9_language_kn
 from .near_jaccard import op6_near_jaccard
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_html_paths": op4_html_paths,
     "op5_quality_ri": op5_quality_ri,
     "op6_near_jaccard": op6_near_jaccard,
+    "op7_template_decontamination": op7_template_decontamination,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_language_kn": op9_language_kn,
     "op10_token_sst": op10_token_sst,
