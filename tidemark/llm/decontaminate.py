@@ -113,7 +113,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         lined = both.groupBy("doc_id", "text_hash", "item_id", "item_words", (F.col("at") - F.col("item_at")).alias("line")).agg(
             F.array_sort(F.collect_set("item_at")).alias("places"), F.array_distinct(F.flatten(F.collect_set(F.filter(pairs, lambda p: p["slot"])))).alias("pairs")
         )
-        covered = size + F.aggregate(F.sequence(F.lit(1), F.size("places")), F.lit(0), lambda a, k: a + F.coalesce(F.least(F.lit(size), F.get("places", k) - F.get("places", k - 1)), F.lit(0)))
+        covered = size + F.aggregate(F.sequence(F.lit(1), F.size("places")), F.lit(0), lambda a, k: a + F.when(k < F.size("places"), F.least(F.lit(size), F.get("places", k) - F.get("places", k - 1))).otherwise(0))
         consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
         part = lined.filter(consistent).select("doc_id", "text_hash", "item_id", "item_words", covered.alias("covered"))
         found = part if found is None else found.unionByName(part)
