@@ -373,10 +373,12 @@ def _spark_hash(nodes: list[bytes], ids: list) -> np.ndarray:
 
 
 def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, node, class_id (smallest id of its class), copy_of (smallest id with the same shingles), n_links (other rows it is linked to)."""
+    """Of every row: doc_id, text_hash (Spark's xxhash64 of the text), class_node (names its class; null without shingles),
+    class_id (smallest id of its class), copy_of (smallest id with the same shingles), n_links (other rows it is linked to).
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(spark, signatures(docs, ["doc_id"]), "signatures")
+    signed = written(spark, signatures(docs.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "text_hash"]), "signatures")
     each = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), F.min("bands").alias("bands"))
     nodes = written(spark, each, "nodes")
     group = written(spark, components(candidate_edges(nodes.select("node", "n_shingles", "signature", "bands"))), "groups")
@@ -384,16 +386,38 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     members = group.join(sizes, "root").join(nodes, "node").select("node", F.xxhash64("root").alias("group"), "group_size", "copies", F.col("copy_of").alias("doc_id"))
     members = written(spark, members, "members")
     parts = written(spark, verified(docs, members), "verified")
-    # one pair of blocks holds a small group whole, and its roots are final; others are joined over their blocks
-    classes = components(parts.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    # the links of a group may be dealt over several pairs of blocks: their parts are joined here
+    classes = written(spark, components(parts.select(F.col("node").alias("u"), F.col("root").alias("v"))), "links")
     links = parts.groupBy("node").agg(F.sum("links").alias("links"))
-    named = classes.join(nodes.select("node", "copy_of"), "node")
-    names = named.groupBy("root").agg(F.min("copy_of").alias("class_id"))
-    final = nodes.select("node", "copy_of", "copies").join(classes.join(names, "root").select("node", "class_id"), "node", "left").join(links, "node", "left")
-    final = written(spark, final.select("node", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
-    rows = signed.select("doc_id", "node").join(final, "node", "left")
-    own = F.col("node").isNull()
-    return rows.select("doc_id", "node", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    names = classes.join(nodes.select("node", "copy_of"), "node").groupBy("root").agg(F.min("copy_of").alias("class_id"))
+    final = nodes.select("node", "copy_of", "copies").join(classes.join(names, "root").select("node", "root", "class_id"), "node", "left").join(links, "node", "left")
+    final = final.select("node", "copy_of", F.coalesce("root", "node").alias("class_node"), F.coalesce("class_id", "copy_of").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    rows = signed.select("doc_id", "text_hash", "node").join(written(spark, final, "classes"), "node", "left")
+    alone = F.col("node").isNull()
+    return rows.select(
+        "doc_id",
+        "text_hash",
+        "class_node",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
+
+
+def one_of_each_class(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The row with the smallest id of each class, with all its columns; rows without shingles all stay."""
+    from pyspark.sql import Window
+
+    rows = near_classes(docs, text, doc_id)
+    id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    alone = rows.filter("class_node is null").select(id_key.alias("id_key"), "text_hash", F.lit(True).alias("alone")).distinct()
+    first = rows.filter("class_node is not null").groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("k"))
+    first = first.select(F.coalesce(F.col("k.doc_id").cast("string"), F.lit("null")).alias("id_key"), F.col("k.text_hash").alias("text_hash"), F.lit(False).alias("alone"))
+    stays = written(docs.sparkSession, alone.unionByName(first), "stays")
+    keyed = docs.select("*", F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null")).alias("id_key"), F.xxhash64(text).alias("text_hash"))
+    kept = keyed.join(stays, ["id_key", "text_hash"])
+    number = F.row_number().over(Window.partitionBy("id_key", "text_hash").orderBy(F.lit(0)))
+    return kept.withColumn("number_", number).filter("alone or number_ = 1").select(*docs.columns)
 
 
 def op6_near_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
