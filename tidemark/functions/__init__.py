@@ -1 +1 @@
-"""functions."""
+"""Column functions: text forms, hashes, ordering keys, vectors, validators."""

@@ -1 +1 @@
-"""plans."""
+"""Reports and the registered queries."""
