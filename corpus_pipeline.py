@@ -21,7 +21,7 @@ from tidemark.llm.quality_ri import THRESHOLD, fitted, score_quality
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at or above its threshold."""
     network, vectors = fitted(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, network, vectors, docs.columns).filter(F.col("score") >= THRESHOLD).select(*docs.columns)
+    return score_quality(docs, network, vectors, docs.columns, out="score__").filter(F.col("score__") >= THRESHOLD).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for personal data; n_chars follows the new text."""
-    out = pseudonymise(docs, docs.columns)
+    out = pseudonymise(docs, docs.columns, spans="spans__")
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

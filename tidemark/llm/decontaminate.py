@@ -139,8 +139,9 @@ def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
     bad = contaminations(docs, benchmark).select("doc_id", "text_hash").distinct()
-    rows = docs.withColumn("text_hash", F.xxhash64("text"))
-    return rows.join(bad, same_rows(rows, bad), "left_anti").drop("text_hash")
+    rows = docs.withColumn("text_hash__", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(bad["doc_id"]) & (rows["text_hash__"] == bad["text_hash"])
+    return rows.join(bad, same, "left_anti").drop("text_hash__")
 
 
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -410,14 +410,14 @@ def one_of_each_class(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
     rows = near_classes(docs, text, doc_id)
     id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    alone = rows.filter("class_node is null").select(id_key.alias("id_key"), "text_hash", F.lit(True).alias("alone")).distinct()
+    alone = rows.filter("class_node is null").select(id_key.alias("id_key__"), F.col("text_hash").alias("text_hash__"), F.lit(True).alias("alone__")).distinct()
     first = rows.filter("class_node is not null").groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("k"))
-    first = first.select(F.coalesce(F.col("k.doc_id").cast("string"), F.lit("null")).alias("id_key"), F.col("k.text_hash").alias("text_hash"), F.lit(False).alias("alone"))
+    first = first.select(F.coalesce(F.col("k.doc_id").cast("string"), F.lit("null")).alias("id_key__"), F.col("k.text_hash").alias("text_hash__"), F.lit(False).alias("alone__"))
     stays = written(docs.sparkSession, alone.unionByName(first), "stays")
-    keyed = docs.select("*", F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null")).alias("id_key"), F.xxhash64(text).alias("text_hash"))
-    kept = keyed.join(stays, ["id_key", "text_hash"])
-    number = F.row_number().over(Window.partitionBy("id_key", "text_hash").orderBy(F.lit(0)))
-    return kept.withColumn("number_", number).filter("alone or number_ = 1").select(*docs.columns)
+    keyed = docs.select("*", F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null")).alias("id_key__"), F.xxhash64(text).alias("text_hash__"))
+    kept = keyed.join(stays, ["id_key__", "text_hash__"])
+    number = F.row_number().over(Window.partitionBy("id_key__", "text_hash__").orderBy(F.lit(0)))
+    return kept.withColumn("number__", number).filter("alone__ or number__ = 1").select(*docs.columns)
 
 
 def op6_near_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -272,16 +272,16 @@ class Pseudonymiser:
 _made: dict = {}
 
 
-def pseudonymise(df: DataFrame, keep: list[str], text: str = "text", key: bytes = DEMO_KEY, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """``keep`` columns (without ``text``), then ``text`` with pseudonyms and ``spans`` (kind, start, end in the given text)."""
+def pseudonymise(df: DataFrame, keep: list[str], text: str = "text", key: bytes = DEMO_KEY, kinds: tuple[str, ...] = KINDS, spans: str = "spans") -> DataFrame:
+    """``keep`` columns (without ``text``), then ``text`` with pseudonyms and ``spans``, an array of (kind, start, end in the given text)."""
     small_batches(df.sparkSession)
 
     def work(batch):
         p = _made.get((key, kinds)) or _made.setdefault((key, kinds), Pseudonymiser(key, kinds))
         found = [p.text(x) for x in batch.column(text).to_pylist()]
-        return {text: [f[0] for f in found], "spans": [[{"kind": k, "start": a, "end": b} for k, a, b in f[1]] for f in found]}
+        return {text: [f[0] for f in found], spans: [[{"kind": k, "start": a, "end": b} for k, a, b in f[1]] for f in found]}
 
-    schema = T.StructType([T.StructField(text, T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
+    schema = T.StructType([T.StructField(text, T.StringType()), T.StructField(spans, T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
     return map_batches(df, [c for c in keep if c != text], work, schema, [text])
 
 

@@ -228,8 +228,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, teaches: Column, vectors: np
 _poolers: dict[str, Pooler] = {}
 
 
-def score_quality(df: DataFrame, network: Network, vectors: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns and score (0 to 1, higher: label 1 likelier) of every whole text."""
+def score_quality(df: DataFrame, network: Network, vectors: np.ndarray, keep: list[str], text: str = "text", out: str = "score") -> DataFrame:
+    """``keep`` columns and ``out``, the score (0 to 1, higher: label 1 likelier) of every whole text."""
     small_batches(df.sparkSession)
     held, name = df.sparkSession.sparkContext.broadcast((network, vectors)), uuid.uuid4().hex
 
@@ -237,9 +237,9 @@ def score_quality(df: DataFrame, network: Network, vectors: np.ndarray, keep: li
         if name not in _poolers:
             _poolers.clear()
             _poolers[name] = Pooler(held.value[1])
-        return {"score": held.value[0].scores(_poolers[name].features(batch.column(text).to_pylist()))}
+        return {out: held.value[0].scores(_poolers[name].features(batch.column(text).to_pylist()))}
 
-    return map_batches(df, keep, work, T.StructType([T.StructField("score", T.DoubleType())]), [text])
+    return map_batches(df, keep, work, T.StructType([T.StructField(out, T.DoubleType())]), [text])
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Network, np.ndarray]:
@@ -251,5 +251,5 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Network, np.ndarray]:
 def op5_quality_ri(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     network, vectors = fitted(docs, table(spark, sf_dir, "labels"))
-    out = score_quality(docs.select("doc_id", "text", (crc_mod("doc_id", 5) == 0).alias("held_out")), network, vectors, ["doc_id", "held_out"])
+    out = score_quality(docs.select("doc_id", "text", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out")), network, vectors, ["doc_id", "held_out"])
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
