@@ -1,0 +1,196 @@
+"""op1, op5 and op9: bijections, planted values, edge cases, held-out accuracy."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidemark.llm import kn_language as kn
+from tidemark.llm import pii_feistel as pii
+from tidemark.llm import quality_ri as ri
+from tidemark.llm.common import table
+
+from .conftest import ODD, with_clashes
+
+KEY = b"test key"
+
+
+@given(st.integers(1, 40), st.integers(1, 40))
+@settings(max_examples=30, deadline=None)
+def test_small_spaces_are_permuted(a, b):
+    f = pii.Feistel(KEY)
+    out = {f.pair(x, y, a, b, "T") for x in range(a) for y in range(b)}
+    assert out == {(x, y) for x in range(a) for y in range(b)}
+    if a * b > 1:
+        assert all(f.pair(x, y, a, b, "T") != (x, y) for x in range(a) for y in range(b))
+
+
+@pytest.mark.parametrize("n", [10_007, 20_000, 73_049])
+def test_numbers_are_permuted(n):
+    f = pii.Feistel(KEY)
+    assert len({f.number(x, n, "T") for x in range(n)}) == n
+
+
+@given(st.lists(st.tuples(st.integers(2, 30), st.integers(0, 1000)), min_size=1, max_size=20))
+@settings(max_examples=60, deadline=None)
+def test_digits_stay_in_their_radix(pairs):
+    radixes, values = [r for r, _ in pairs], [v % r for r, v in pairs]
+    out = pii.Feistel(KEY).digits(values, radixes, "T")
+    assert all(0 <= v < r for v, r in zip(out, radixes, strict=True))
+
+
+PLANTED = {
+    "CARD": ["4532015112830366", "4532-0151-1283-0366", "5555 5555 5555 4444"],
+    "EMAIL": ["jane.doe@example.com", "éle.3@mail.example.org", "A_B%c+1@x-y.co"],
+    "IPV4": ["97.51.17.173", "10.0.0.1"],
+    "PHONE": ["+1 (017) 555-7713", "555-123-4567", "+44 20 7946 0958"],
+    "SSN": ["123-45-6789"],
+    "IBAN": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"],
+    "DATE": ["1984-02-29", "31/12/1999", "3 March 2001", "December 5, 1980"],
+}
+
+
+@pytest.mark.parametrize(("kind", "value"), [(k, v) for k, vs in PLANTED.items() for v in vs])
+def test_values_are_replaced_alike_and_keep_their_format(kind, value):
+    p = pii.Pseudonymiser(KEY)
+    a, spans = p.text(f"before {value} after.")
+    b, _ = p.text(f"Elsewhere: {value}!!")
+    assert [s[0] for s in spans] == [kind] and value not in a
+    new = a.removeprefix("before ").removesuffix(" after.")
+    assert f"Elsewhere: {new}!!" == b
+    if kind != "DATE":
+        assert re.sub(r"\w", "x", new) == re.sub(r"\w", "x", value) or kind == "IPV4"
+    assert [s[0] for s in p.text(f"before {new} after.")[1]] == [kind]  # the pseudonym passes the same validation
+    assert pii.Pseudonymiser(b"other key").text(f"before {value} after.")[0] != a
+
+
+@pytest.mark.parametrize("text", ["4532015112830367", "9807915762804490123", "1.2.3", "300.1.1.1", "666-12-3456", "DE88 3704 0044 0532 0130 00", "2001-02-30", "no personal data at all", "version 1.2.3.4.5", "a @ b", "x@y", ""])
+def test_what_does_not_validate_stays(text):
+    assert pii.Pseudonymiser(KEY).text(text) == (text, [])
+
+
+def test_secrets():
+    p = pii.Pseudonymiser(KEY)
+    a, spans = p.text('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and "token = " alone')
+    assert re.fullmatch(r'token = "[0-9a-f]{40}" and "token = " alone', a) and "04dbebab" not in a and len(spans) == 1
+
+
+def test_op1_query_edges(spark, tables):
+    rows = [*ODD, (9, "mail a.b@example.com twice a.b@example.com", "en", "s", 1)]
+    d = tables(documents=rows)
+    got = [tuple(r) for r in pii.op1_pii_pseudonyms(spark, d).collect()]
+    p = pii.Pseudonymiser(pii.DEMO_KEY)
+    assert sorted(map(str, got)) == sorted(str((r[0], p.text(r[1])[0], len(p.text(r[1])[1]))) for r in rows)
+    assert pii.op1_pii_pseudonyms(spark, tables()).count() == 0
+    docs = with_clashes(table(spark, d, "documents"))
+    assert set(pii.pseudonymise(docs, docs.columns, spans="spans__").columns) == {*docs.columns, "spans__"}
+
+
+# --- language ------------------------------------------------------------------------------------
+
+
+def model():
+    from collections import Counter
+
+    rnd = random.Random(1)
+    parts = {"aa": ["ka", "to", "mi", "ne"], "bb": ["str", "ung", "ach", "ei"], "cc": ["eau", "que", "oi", "ai"]}
+    make = lambda lang, n: " ".join("".join(rnd.choice(parts[lang]) for _ in range(rnd.randrange(1, 4))) for _ in range(n))
+    m = kn.KneserNey.fit({lang: Counter(kn.words_of(make(lang, 3000))) for lang in parts})
+    m.calibrate([(lang, make(lang, 50)) for lang in parts for _ in range(30)])
+    return m, make
+
+
+def test_probabilities_of_next_characters_sum_to_at_most_one():
+    m, _ = model()
+    for prefix in ("", "k", "kat", "zz"):
+        for j in range(len(m.languages)):
+            # words that share a prefix are different events of one distribution
+            assert sum(2 ** float(m.score([prefix + c])[0][0][j]) for c in "abcdefghijklmnopqrstuvwxyz") <= 1.0 + 1e-6
+
+
+def test_languages_are_told_apart_and_strangers_rejected():
+    m, make = model()
+    s = kn.Scorer(m)
+    got = s.predict([make(lang, 20) for lang in m.languages for _ in range(20)] + [None, "", "123 !!", "xqzw vbnx qqqq zzzz wwww " * 4])
+    assert [g[0] for g in got[:60]] == [lang for lang in m.languages for _ in range(20)]
+    assert [g[:2] for g in got[60:63]] == [("und", 0.0)] * 3
+    assert got[63][3] and not any(g[3] for g in got[:60]) and all(0 <= g[1] <= 1 for g in got)
+
+
+def test_cached_scores_are_plain_scores():
+    m, make = model()
+    texts = [make(lang, 30) + ", and MORE. " for lang in m.languages]
+    for text, got in zip(texts, kn.Scorer(m).predict(texts), strict=True):
+        logs, n = m.score(kn.words_of(text))
+        assert abs(got[2] - (-logs.sum(0) / n.sum()).min()) < 1e-4
+
+
+def test_op9_held_out_accuracy(spark, sf_dir):
+    truth = {r["doc_id"]: r["lang"] for r in table(spark, sf_dir, "documents").collect()}
+    got = kn.op9_language_kn(spark, sf_dir).collect()
+    assert len(got) == len(truth) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.9
+
+
+def test_op9_edges(spark, tables):
+    got = {(r["doc_id"], r["lang_pred"], r["score"]) for r in kn.op9_language_kn(spark, tables(documents=ODD)).collect()}
+    assert {g for g in got if g[0] in (1, 2, 3)} == {(i, "und", 0.0) for i in (1, 2, 3)}
+    assert kn.op9_language_kn(spark, tables()).count() == 0
+
+
+# --- quality ---------------------------------------------------------------------------------------
+
+
+def test_op5_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in table(spark, sf, "labels").collect()}
+    got = ri.op5_quality_ri(spark, sf).collect()
+    assert len(got) == table(spark, sf, "documents").count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] in labels]
+    good = [r["score"] for r in held if labels[r["doc_id"]] == 1]
+    bad = [r["score"] for r in held if labels[r["doc_id"]] == 0]
+    assert np.mean([g > b for g in good for b in bad]) > 0.9
+
+
+def test_op5_edges(spark, tables):
+    got = ri.op5_quality_ri(spark, tables(documents=ODD, labels=[(1, 1, 0), (4, None, 0), (None, 1, 0)])).collect()
+    assert len(got) == len(ODD) and len({r["score"] for r in got}) == 1  # labels of one kind: the smoothed share
+    got = ri.op5_quality_ri(spark, tables(documents=ODD, labels=[(i, i % 2, 0) for i in range(1, 8)])).collect()
+    assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+    assert ri.op5_quality_ri(spark, tables()).count() == 0
+
+
+def test_network_learns_and_calibrates():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 6))
+    y = ((x[:, 0] * x[:, 1] > 0) ^ (rng.random(2000) < 0.1)).astype(float)
+    n = ri.Network.fit(x[:1500], y[:1500])
+    n.calibrate(x[1500:], y[1500:])
+    s = n.scores(x[1500:])
+    assert np.mean((s > 0.5) == y[1500:]) > 0.8 and abs(s.mean() - y[1500:].mean()) < 0.1
+
+
+def test_context_sums_are_a_plain_loop():
+    c = ri.ContextSums()
+    c.add(["the cat sat on the mat!!", None, "one"])
+    want = np.zeros((ri.ROWS, ri.DIM))
+    vectors = np.zeros((ri.ROWS, ri.DIM))
+    for j in range(ri.NONZERO):
+        vectors[np.arange(ri.ROWS), c.places[:, j]] += c.signs[:, j]
+    for text in ("the cat sat on the mat!!", "one"):
+        words, forms = ri.rows_in(text)
+        for i in range(len(words)):
+            want[words[i]] += vectors[forms[i]]
+            want[forms[i]] += vectors[words[i]]
+            for k in (-2, -1, 1, 2):
+                if 0 <= i + k < len(words):
+                    want[words[i]] += vectors[words[i + k]]
+                    want[forms[i]] += vectors[forms[i + k]]
+    assert np.array_equal(c.matrix(), want)

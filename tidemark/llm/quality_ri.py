@@ -35,7 +35,7 @@ ROWS = WORD_ROWS + FORM_ROWS
 NONZERO, WINDOW = 2, 2
 #: Bound of the labelled sample that the network learns from, and the share that fits the temperature.
 SAMPLE_ROWS, CALIBRATION = 20_000, 5
-HIDDEN, EPOCHS, BATCH, RATE, DECAY = 48, 40, 256, 2e-3, 1e-4
+HIDDEN, STEPS, BATCH, RATE, DECAY = 48, 2500, 256, 3e-3, 1e-4
 THRESHOLD = 0.3
 CACHE = 250_000
 FEATURES = 4 * DIM + 5
@@ -156,14 +156,15 @@ class Network:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray) -> Network:
-        """Adam on the log loss, mini-batches; a fixed seed, so equal rows give an equal network."""
+        """Adam on the log loss, about STEPS mini-batches; a fixed seed, so equal rows give an equal network."""
         rng = np.random.default_rng(7)
         mean, scale = x.mean(0), x.std(0) + 1e-6
         x = np.clip((x - mean) / scale, -8, 8)
         p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
         m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-        for epoch in range(EPOCHS):
-            rate = RATE * (1 - epoch / EPOCHS)
+        epochs = -(-STEPS * BATCH // len(x))
+        for epoch in range(epochs):
+            rate = RATE * (1 - epoch / epochs)
             order = rng.permutation(len(x))
             for i in range(0, len(x), BATCH):
                 at = order[i : i + BATCH]
