@@ -1,7 +1,7 @@
 """Benchmark decontamination by canonical templates; DataFrame expressions only.
 
 Words are runs of letters, and numbers. A number becomes a number placeholder, a capitalised word after a
-lower-case letter, digit, comma or semicolon a name placeholder, a unit after a number a unit placeholder; other
+lower-case letter, digit, comma or semicolon a name placeholder (the first word of an item counts both ways), a unit after a number a unit placeholder; other
 words are lower-cased. Windows of ``WINDOW`` canonical words (shorter items: their own length) are hashed, and
 documents' windows are equi-joined with those of the benchmark. A bit map of the benchmark's window hashes, of
 bounded size, drops the other windows before any row is made of them; if the benchmark outgrows the map, more
@@ -42,6 +42,11 @@ def raw_words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(marked, F.lit("")), F.lit(NAME + r"?[\p{L}\p{M}]+|\p{N}+(?:[.,:]\p{N}+)*"), F.lit(0))
 
 
+def marked_start(text: Column) -> Column:
+    """The text with its first word marked as a name, if it is capitalised: so it looks where it stands inside a sentence."""
+    return F.regexp_replace(text, r"^\s*(?=\p{Lu}\p{Ll})", NAME)
+
+
 def is_number(word: Column) -> Column:
     return (word >= "0") & (word < ":")
 
@@ -99,7 +104,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = None
     for size in [r[0] for r in items.select(F.least("item_words", F.lit(WINDOW)).alias("n")).distinct().orderBy("n").collect()]:  # WINDOW values at most
         of_size = items.filter(F.least("item_words", F.lit(WINDOW)) == size)
-        theirs = of_size.select("item_id", "item_words", F.explode(matches_of(F.col("text"), size, None)).alias("m")).select("item_id", "item_words", F.col("m.at").alias("item_at"), F.col("m.hash").alias("hash"), F.col("m.words").alias("item_text"), F.col("m.slots").alias("item_slots"))
+        inside = F.filter(matches_of(marked_start(F.col("text")), size, None), lambda m: m["at"] == 1)
+        every = F.array_union(matches_of(F.col("text"), size, None), inside)
+        theirs = of_size.select("item_id", "item_words", F.explode(every).alias("m")).select("item_id", "item_words", F.col("m.at").alias("item_at"), F.col("m.hash").alias("hash"), F.col("m.words").alias("item_text"), F.col("m.slots").alias("item_slots"))
         n = theirs.select("hash").distinct().count()
         bits = min(MOST_BITS, max(LEAST_BITS, 1 << (n * BITS_A_WINDOW - 1).bit_length() if n else 0))
         place = F.expr(f"hash & {bits - 1}")

@@ -33,6 +33,8 @@ WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？؟]")
 
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
+#: These do not break the text around them.
+SILENT = frozenset("script style noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Elements whose text is never the article's.
@@ -137,7 +139,7 @@ def blocks_of(page: str) -> tuple[list[tuple[Node, str, int]], Node]:
                 if tag in INLINE and stack[i].tag not in INLINE or tag == "p" and stack[i].tag in BARS:
                     break
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in SILENT:
             flush()
             wants, bars = CLOSES.get(tag, (None, None))
             if tag in P_ENDS:
