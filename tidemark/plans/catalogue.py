@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, hashing, keys, text, validators, vectors
-from ..operators import aggregates, asof, chain, governance, layout, lookups, scan, windows
+from ..operators import aggregates, asof, chain, governance, layout, lookups, scan, security, windows
 from ..sources.tables import load, micros
 from . import reports
 
@@ -601,3 +601,40 @@ def mifid_ndjson(spark, sf_dir):
 def record_keeping(spark, sf_dir):
     i = events(spark, sf_dir).select((F.col("ts_us") * 1000).alias("timestamp_ns"), (F.col("event_id") % 1000).alias("latency_ns"), F.col("value").alias("output_score"), F.col("event_type").alias("model_version"))
     return reports.record_keeping(_decisions(spark, sf_dir), i).withColumn("avg_score", F.round("avg_score", 6))
+
+
+def _inferences(spark, sf_dir) -> DataFrame:
+    e = events(spark, sf_dir)
+    return e.select(
+        (F.col("ts_us") * 1000).alias("timestamp_ns"), (F.col("event_id") % 8).cast("int").alias("inference_type"), (F.col("value") / 100).alias("output_score"), (F.col("event_id") % 1000).alias("latency_ns"),
+        F.lit(2).alias("batch_size"), (F.col("event_id") % 10).cast("int").alias("input_tokens"), F.lit(5).alias("output_tokens"), F.lit("chain-1").alias("chain_id"),
+    )
+
+
+@query(
+    "SELECT count(*) AS inferences, round(avg(value / 100), 6) AS avg_score, CAST(floor(avg(CAST(event_id % 1000 AS BIGINT))) AS BIGINT) AS avg_latency_ns, count(*) FILTER (WHERE value / 100 < 0.5) AS low_confidence, CAST(sum(event_id % 10) AS BIGINT) AS input_tokens, CAST(5 * count(*) AS BIGINT) AS output_tokens, "
+    "CAST(2 * count(*) AS BIGINT) AS batch_total, " + ", ".join(f"count(*) FILTER (WHERE event_id % 8 = {t}) AS type_{t}" for t in range(8)) + " FROM events"
+)
+def transparency_report(spark, sf_dir):
+    return reports.transparency(_inferences(spark, sf_dir)).withColumn("avg_score", F.round("avg_score", 6))
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS decisions, count(*) AS inferences, 'chain-1' AS chain_a, 'chain-1' AS chain_b, true AS chains_agree, CAST(0 AS BIGINT) AS anomalies FROM events")
+def conformity_report(spark, sf_dir):
+    return reports.conformity(_decisions(spark, sf_dir).withColumn("chain_id", F.lit("chain-1")), _inferences(spark, sf_dir))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, true AS hidden FROM customer")
+def column_encryption(spark, sf_dir):
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    keyed = security.column_keys(b"master key of the test", {"c_custkey": 0, "c_name": 2, "c_acctbal": 3})
+    sealed = security.encrypt_columns(c, keyed).withColumn("hidden", ~F.decode("c_name", "ISO-8859-1").contains("Customer"))
+    return security.decrypt_columns(sealed, keyed, {"c_acctbal": "double"})
+
+
+@query("SELECT s_suppkey, s_nationkey AS subject, CASE WHEN s_nationkey % 2 = 0 THEN s_name END AS s_name FROM supplier")
+def crypto_shredding(spark, sf_dir):
+    s = load(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("subject"), "s_name")
+    subject_keys = s.select("subject").distinct().withColumn("subject_key", F.unhex(F.sha2(F.concat(F.lit("test key "), F.col("subject").cast("string")), 256)))
+    sealed = security.seal(s, subject_keys, "s_name")
+    return security.unseal(sealed, security.shred(subject_keys, s.filter("subject % 2 = 1").select("subject").distinct()), "s_name").select("s_suppkey", "subject", "s_name")

@@ -84,3 +84,23 @@ def report_json(summary: DataFrame, report_type: str, report_id: str) -> str:
 
     row = summary.first().asDict(recursive=True)
     return json.dumps({"report_type": report_type, "report_id": report_id, **row}, sort_keys=False, default=str)
+
+
+def transparency(inferences: DataFrame, start_ns: int | None = None, end_ns: int | None = None, low: float = 0.5) -> DataFrame:
+    """One row: how a system behaved in a period: volume, scores, latency, low confidence, tokens, kinds of inference."""
+    rows = reported(inferences, start_ns, end_ns)
+    kind = F.col("inference_type")
+    return rows.agg(
+        F.count("*").alias("inferences"), F.avg("output_score").alias("avg_score"), F.avg("latency_ns").cast("long").alias("avg_latency_ns"), F.count_if(F.col("output_score") < low).alias("low_confidence"),
+        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("batch_size").alias("batch_total"), *[F.count_if(kind == t).alias(f"type_{t}") for t in range(8)],
+    )
+
+
+def conformity(decisions: DataFrame, inferences: DataFrame, start_ns: int | None = None, end_ns: int | None = None, verify: bool = True) -> DataFrame:
+    """One row over both logs of a period, with chain agreement and anomalies (latency over mean + 3 deviations)."""
+    from ..operators.aggregates import anomalies
+    from ..operators.lookups import correlated
+
+    d, i = reported(decisions, start_ns, end_ns), reported(inferences, start_ns, end_ns)
+    over = anomalies(i, "latency_ns").agg(F.count("*").alias("anomalies"), F.lit(1).alias("k_"))
+    return correlated(d, i, verify).withColumn("k_", F.lit(1)).join(over, "k_").drop("k_")
