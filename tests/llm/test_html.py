@@ -22,6 +22,7 @@ CASES = {
     "unclosed elements": ("<article><p>one<p>two<br>three<b>four<p>five", "one two threefour five"),
     "stray signs": ("<article><p>1 < 2 and 3 > 2 <3 & so on</article>", "1 < 2 and 3 > 2 <3 & so on"),
     "a notice and hidden text": ('<body><div role="alert">Cookies!</div><article><p>Text, then.</p><p hidden>not shown</p><p style="display: none">nor this</p></article></body>', "Text, then."),
+    "a header of the post": ('<body><div class="site-header"><h2>Site</h2></div><div class="post"><div class="post-header"><h1>Title</h1></div><div class="post-body"><p>Some text, and more.</p><p>And more, still.</p></div></div></body>', "Title Some text, and more. And more, still."),
     "plain text": ("plain text only", "plain text only"),
     "no text": ("<html><head><title>t</title></head><body><nav>menu</nav></body></html>", ""),
     "empty": ("", ""),

@@ -47,6 +47,8 @@ CLUTTER = frozenset(
     "recommendations comment comments commentlist disqus replies reply respond pagination pager toolbar widget topbar skip".split()
 )
 HEADERS = frozenset(("header", "head", "topbar"))
+#: Beside one of these a header is the article's own.
+OF_ARTICLE = frozenset("article post entry story content title headline".split())
 #: An opening tag closes an open element of the set, up to the nearest element that bars the way.
 P_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -84,7 +86,7 @@ def classes(attributes: str) -> tuple[str, bool, bool, bool]:
         elif value:
             words = {w.lower() for w in WORD.findall(value)}
             hint |= not CLUTTER.isdisjoint(words)
-            header |= not HEADERS.isdisjoint(words)
+            header |= not HEADERS.isdisjoint(words) and OF_ARTICLE.isdisjoint(words)
             names += f".{value}" if key == "class" else ""
     return names, sure, hint, header
 
