@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts are long, so batches are short: a worker holds one batch at a time.
 BATCH_ROWS = 512
+#: Bytes of one Arrow batch: a few very long texts fill one by themselves.
+BATCH_BYTES = 32 << 20
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Hold Arrow batches to ``rows`` rows, so that a worker's memory follows the longest texts and not the table."""
+    """Hold Arrow batches to ``rows`` rows and BATCH_BYTES, so that a worker's memory follows the longest text and not the table."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

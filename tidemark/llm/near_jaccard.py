@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,8 @@ BANDS, BAND_ROWS = 32, 5
 HASHES = BANDS * BAND_ROWS
 STEP, TOLERANCE = 32, 1e-6
 BLOCK = 512
+#: Shingles of a block of texts: groups of very long texts are cut into more blocks.
+BLOCK_SHINGLES = 2_000_000
 #: Bits of the map of wanted rows: 16 a row, and at most 2^28 (32 MB) whatever the number of rows.
 BITS_A_ROW, MOST_BITS = 16, 1 << 28
 WORD_CACHE = 400_000
@@ -178,9 +180,11 @@ def _pairs(left: np.ndarray, right: np.ndarray, at_once: int = 64) -> Iterator[t
             yield np.repeat(part, len(right)), np.tile(right, len(part))
 
 
-def _in_blocks(df: DataFrame, key: str, size: str, node: str) -> DataFrame:
-    """Adds lo, hi (a pair of blocks) and left (whether the row is of block lo): each row once for every block of its key."""
-    blocks = F.ceil(F.col(size) / F.lit(BLOCK)).cast("int")
+def _in_blocks(df: DataFrame, key: str, blocks: Column, node: str) -> DataFrame:
+    """Adds lo, hi (a pair of blocks) and left (whether the row is of block lo): each row once for every block of its key.
+
+    ``blocks``: the number of blocks of the row's key.
+    """
     own = F.when(blocks <= 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(node, F.lit("block")), blocks).cast("int"))
     many = df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = many.select("*", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("left")).drop("own", "other")
@@ -222,7 +226,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
 
     spread_rows = nodes.select("node", "bands").mapInArrow(spread, "bucket long, node binary")
     shared = spread_rows.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).filter("size > 1")
-    rows = _in_blocks(shared.join(nodes, "node"), "bucket", "size", "node")
+    rows = _in_blocks(shared.join(nodes, "node"), "bucket", F.ceil(F.col("size") / BLOCK).cast("int"), "node")
     least = least_matches()
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +291,7 @@ def wanted_map(rows: DataFrame, key: str) -> np.ndarray:
 def verified(docs: DataFrame, members: DataFrame, text: str = "text") -> DataFrame:
     """(node, links, root) parts: links of a node inside a pair of blocks, and the smallest row it is joined to there.
 
-    ``members``: node, group, group_size, copies, doc_id (of the text that stands for the node).
+    ``members``: node, group, blocks (of the group), copies, doc_id (of the text that stands for the node).
     """
     spark = docs.sparkSession
     stands = F.xxhash64("node", "doc_id")
@@ -310,8 +314,8 @@ def verified(docs: DataFrame, members: DataFrame, text: str = "text") -> DataFra
 
     sets = docs.select(F.col("doc_id").cast("long"), text).mapInArrow(read, "node binary, doc_id long, shingles binary")
     same = [members["node"] == sets["node"], members["doc_id"].eqNullSafe(sets["doc_id"])]
-    rows = members.join(sets, same).select(members["node"], "group", "group_size", "copies", "shingles")
-    dealt = _in_blocks(rows, "group", "group_size", "node")
+    rows = members.join(sets, same).select(members["node"], "group", "blocks", "copies", "shingles")
+    dealt = _in_blocks(rows, "group", F.col("blocks"), "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["group", "lo", "hi"]):
@@ -382,8 +386,9 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     each = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), F.min("bands").alias("bands"))
     nodes = written(spark, each, "nodes")
     group = written(spark, components(candidate_edges(nodes.select("node", "n_shingles", "signature", "bands"))), "groups")
-    sizes = group.groupBy("root").agg(F.count("*").alias("group_size"))
-    members = group.join(sizes, "root").join(nodes, "node").select("node", F.xxhash64("root").alias("group"), "group_size", "copies", F.col("copy_of").alias("doc_id"))
+    held = group.join(nodes, "node")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    members = held.join(held.groupBy("root").agg(blocks.alias("blocks")), "root").select("node", F.xxhash64("root").alias("group"), "blocks", "copies", F.col("copy_of").alias("doc_id"))
     members = written(spark, members, "members")
     parts = written(spark, verified(docs, members), "verified")
     # the links of a group may be dealt over several pairs of blocks: their parts are joined here
