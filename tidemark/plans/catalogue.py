@@ -638,3 +638,52 @@ def crypto_shredding(spark, sf_dir):
     subject_keys = s.select("subject").distinct().withColumn("subject_key", F.unhex(F.sha2(F.concat(F.lit("test key "), F.col("subject").cast("string")), 256)))
     sealed = security.seal(s, subject_keys, "s_name")
     return security.unseal(sealed, security.shred(subject_keys, s.filter("subject % 2 = 1").select("subject").distinct()), "s_name").select("s_suppkey", "subject", "s_name")
+
+
+# --- streams and codecs ----------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {EVENTS}, r AS (SELECT ts_us * 1000 AS timestamp_ns, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS type_id, props AS payload FROM e), b AS (SELECT min(timestamp_ns) AS lo, max(timestamp_ns) AS hi FROM r)
+SELECT timestamp_ns, type_id, payload FROM r, b WHERE type_id = 2 AND timestamp_ns BETWEEN lo AND lo + (hi - lo) // 2"""
+)
+def hybrid_read(spark, sf_dir):
+    from ..sources import logs
+
+    e = events(spark, sf_dir)
+    records = e.select((F.col("ts_us") * 1000).alias("timestamp_ns"), F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2).otherwise(3).alias("type_id"), F.base64(F.col("props").cast("binary")).alias("payload"), "event_id")
+    lo, hi = records.agg(F.min("timestamp_ns"), F.max("timestamp_ns")).first()
+    closed, live = (records.filter(c).drop("event_id") for c in ("event_id % 3 <> 0", "event_id % 3 = 0"))
+    out = logs.hybrid_read(spark, closed, live, lo, lo + (hi - lo) // 2, 2)
+    return out.withColumn("payload", F.col("payload").cast("string"))
+
+
+@query("SELECT vec_id, embedding::DOUBLE[] AS as_double, list_transform(embedding, lambda x: CAST(trunc(x * 100) AS INT)) AS as_int FROM embeddings WHERE vec_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 20)")
+def vector_by_index(spark, sf_dir):
+    first = load(spark, sf_dir, "embeddings").orderBy("vec_id").limit(20)
+    return first.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("as_double"), F.transform("embedding", lambda x: (x * 100).cast("int")).alias("as_int"))
+
+
+@query("SELECT n_nationkey, 'int8' AS scheme, CAST(n_nationkey AS VARCHAR) AS dimension, '[' || n_nationkey || ',' || n_regionkey || ']' AS as_json, [n_nationkey, n_regionkey] AS parsed FROM nation")
+def parameter_codecs(spark, sf_dir):
+    n = load(spark, sf_dir, "nation")
+    params = vectors.parse_quantization_params(vectors.quantization_params("int8", F.lit(0.5), F.lit(0.0), F.col("n_nationkey")))
+    features = codecs.features_to_json(F.array("n_nationkey", "n_regionkey"))
+    return n.select("n_nationkey", params["scheme"].alias("scheme"), params["dimension"].alias("dimension"), features.alias("as_json"), codecs.features_from_json(features, "array<int>").alias("parsed"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN '\"a,' || n_name || '\"' ELSE n_name END AS field, CASE n_regionkey WHEN 0 THEN 'BUYI' WHEN 1 THEN 'SELL' WHEN 2 THEN 'SSEX' ELSE 'UNKNOWN' END AS label, CAST(coalesce(try_cast(regexp_extract(n_nationkey || 'abc', '^-?\\d+') AS BIGINT), 0) AS BIGINT) AS parsed FROM nation")
+def report_fields(spark, sf_dir):
+    n = load(spark, sf_dir, "nation")
+    field = text.csv_field(F.when(F.col("n_regionkey") == 0, F.concat(F.lit("a,"), F.col("n_name"))).otherwise(F.col("n_name")))
+    return n.select("n_nationkey", field.alias("field"), text.label_of(F.col("n_regionkey"), reports.BUY_SELL).alias("label"), text.lenient_long(F.concat(F.col("n_nationkey").cast("string"), F.lit("abc"))).alias("parsed"))
+
+
+@query("SELECT o_orderkey, (epoch_us(TIMESTAMP '2020-01-01') - epoch_us(o_orderdate)) // 1000000 <= 800000000 AS meets_rpo, o_orderkey % 5 <> 0 AND epoch_us(TIMESTAMP '2020-01-01') - epoch_us(o_orderdate) > 9000 * 86400000000 AS expired, o_totalprice / 1000000 > 0.25 AS drifted, abs(o_orderkey % 7 - 3) * 500000 <= 1000000 AS in_sync FROM orders")
+def yes_no_rules(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    now, then = F.lit(1577836800000000000), micros("o_orderdate") * 1000
+    return o.select(
+        "o_orderkey", validators.meets_rpo(now, then, F.lit(800000000)).alias("meets_rpo"), validators.is_expired(then, now, F.lit(9000), F.col("o_orderkey") % 5 == 0).alias("expired"),
+        validators.is_drifted(F.col("o_totalprice") / 1000000).alias("drifted"), validators.clock_in_sync((F.col("o_orderkey") % 7 - 3) * 500000).alias("in_sync"),
+    )
