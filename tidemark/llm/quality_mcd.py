@@ -32,6 +32,7 @@ STATISTICS = ("x0", "x1", "x2", "x3", "x4")
 #: Spread granted to every statistic: log word length, log symbols, log repeated lines, repeated share, log words.
 FLOOR = (0.06, 0.25, 0.35, 0.10, 1.0)
 KEEP, STEPS, LEAST = 0.75, 3, 60
+MOST_GROUPS = 50_000
 #: Chi-squared with 5 degrees of freedom passes 40 with probability 1.5e-7.
 CUTOFF = 40.0
 #: h / P(chi2 with 7 degrees <= the 0.75 quantile of chi2 with 5): makes the trimmed scatter consistent.
@@ -119,10 +120,18 @@ def cholesky(groups: DataFrame, cov: list[list[str]], keep: list[str]) -> DataFr
     return out.select(*keep, *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
 
 
+def hinted(groups: DataFrame) -> DataFrame:
+    """A table with a row a group, to be broadcast if it is counted to have at most MOST_GROUPS rows (some 200 bytes each).
+
+    Left to itself Spark may deal the texts out by group, and a hot group to one task, before it sees how small this is.
+    """
+    return F.broadcast(groups) if groups.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS else groups
+
+
 def with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance from the group's estimate; null without one."""
     p = len(STATISTICS)
-    out = rows.join(estimate, "group", "left")
+    out = rows.join(hinted(estimate), "group", "left")
     for i in range(p):
         value = F.col(STATISTICS[i]) - F.col(f"m{i}")
         for k in range(i):
@@ -178,7 +187,7 @@ def with_groups(counts: DataFrame, by: tuple[str, str]) -> DataFrame:
     name = F.when(F.col("level") == 0, F.concat_ws("/", text("g_lang"), text("g_source"))).when(F.col("level") == 1, text("g_lang"))
     if rest >= LEAST:
         name = name.otherwise(F.lit("rest"))
-    named = named.select("g_lang", "g_source", name.alias("group"))
+    named = hinted(written(counts.sparkSession, named.select("g_lang", "g_source", name.alias("group")), "text-groups"))
     same = counts[lang].eqNullSafe(named["g_lang"]) & counts[source].eqNullSafe(named["g_source"])
     return counts.join(named, same, "left").drop("g_lang", "g_source")
 
