@@ -129,3 +129,16 @@ def test_shard_file_blocks_and_damage():
     data[100] ^= 1
     with pytest.raises(ValueError, match="damaged"):
         list(token_sst.Shard(io.BytesIO(bytes(data))).scan())
+
+
+def test_a_claim_empties_the_caches_of_others():
+    from tidemark.llm import near_jaccard, quality_ri
+    from tidemark.llm.common import claim
+
+    claim(near_jaccard.__name__)
+    near_jaccard.shingles("one two three")
+    claim(near_jaccard.__name__)
+    assert near_jaccard._words
+    claim(quality_ri.__name__)
+    assert not near_jaccard._words and not near_jaccard._words.old
+    assert len(near_jaccard.shingles("one two three")) == 1

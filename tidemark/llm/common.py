@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -53,6 +54,23 @@ def crc_mod(col: str, n: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(n)
 
 
+_caches: list[weakref.ref] = []
+_claimed: list[str] = []
+
+
+def claim(module: str) -> None:
+    """Empties the caches that other operators filled: workers live on from stage to stage, their caches need not."""
+    if _claimed != [module]:
+        _claimed[:] = [module]
+        for ref in list(_caches):
+            cache = ref()
+            if cache is None:
+                _caches.remove(ref)
+            elif cache.make.__module__ != module:
+                cache.clear()
+                cache.old = {}
+
+
 class TwoGenerations(dict):
     """A cache of at most 2 * size entries: when the young generation is full it becomes the old one.
 
@@ -62,6 +80,7 @@ class TwoGenerations(dict):
     def __init__(self, size: int, make: Callable):
         super().__init__()
         self.size, self.make, self.old = size, make, {}
+        _caches.append(weakref.ref(self))
 
     def __missing__(self, key):
         got = self.old.get(key)
@@ -82,7 +101,10 @@ def map_batches(df: DataFrame, keep: list[str], work: Callable[[pa.RecordBatch],
     fields = [df.schema[c] for c in keep] + list(schema.fields)
     out = to_arrow_schema(T.StructType(fields))
 
+    owner = work.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
         for batch in batches:
             made = work(batch)
             yield pa.RecordBatch.from_arrays(

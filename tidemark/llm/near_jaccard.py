@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TwoGenerations, map_batches, small_batches, table, written
+from .common import TwoGenerations, claim, map_batches, small_batches, table, written
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -298,6 +298,7 @@ def verified(docs: DataFrame, members: DataFrame, text: str = "text") -> DataFra
     bit_map = spark.sparkContext.broadcast(wanted_map(members.select(stands.alias("h")), "h"))  # 32 MB at most
 
     def read(batches):
+        claim(__name__)
         bits = bit_map.value
         for batch in batches:
             ids, hashes, sets = [], [], []

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TwoGenerations, crc_mod, map_batches, small_batches, table
+from .common import TwoGenerations, claim, crc_mod, map_batches, small_batches, table
 
 WORD_ROWS, FORM_ROWS, DIM = 1 << 15, 1 << 12, 32
 ROWS = WORD_ROWS + FORM_ROWS
@@ -98,6 +98,7 @@ def word_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         sums = None
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -202,6 +203,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, teaches: Column, vectors: np
     held = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         pooler = None
         for batch in batches:
             pooler = pooler or Pooler(held.value)
