@@ -208,6 +208,17 @@ def test_op7_edges(spark, tables):
     assert kept.columns == docs.columns and kept.count() == len(ODD)
 
 
+def items_found(spark, tables, item, texts):
+    """The places, in texts, of the texts that the item contaminates."""
+    df = dc.op7_template_decontamination(spark, tables(documents=[doc(i, x) for i, x in enumerate(texts)], benchmark=[(1, item)]))
+    return [r["doc_id"] for r in df.orderBy("doc_id").collect() if r["contaminated"]]
+
+
+def test_op7_items_full_of_numbers(spark, tables):
+    item = "Compute the sum 48 + 17 + 36 + 25 + 91 + 60"
+    assert items_found(spark, tables, item, [item, f"so {item}, please", "Compute the sum 12 + 33 + 54 + 75 + 26 + 87"]) == [0, 1]
+
+
 @pytest.mark.parametrize("size", [1, 5])
 def test_bit_map_only_saves_work(spark, size):
     bits = dc.long_array([(1 << 63) - 1] * (1 << size))

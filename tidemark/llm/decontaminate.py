@@ -12,8 +12,10 @@ item that their windows cover are counted, and their slots - places with a place
 wherever the item repeats a value, the document repeats the value that stands for it. A document is contaminated
 by an item if consistent matches cover ``COVERED`` of its words, or the share ``SHARE`` of them.
 
-Null and empty texts, items under ``SHORTEST`` words, and windows with fewer than half their words outside
-placeholders match nothing. Rows with a null id are told apart by their text. Repeated rows get equal results.
+Windows with more than half of their words in placeholders (sums, tables, lists of names) say too little as
+templates: they match only where all their words agree, so an exact copy always matches.
+
+Null and empty texts and items under ``SHORTEST`` words match nothing. Rows with a null id are told apart by their text. Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -60,30 +62,45 @@ def placeholder(words: Column, word: Column, i: Column) -> Column:
     )
 
 
+def plain(word: Column) -> Column:
+    return F.lower(F.translate(word, NAME, ""))
+
+
 def matches_of(text: Column, size: int, wanted: Column | None) -> Column:
     """Array of (place, window hash, words, slots) of a text's windows, places from 1.
 
     ``wanted``: array of longs, a bit map; windows without their bit are left out. slots: whether each word is one.
+    Windows are hashed with placeholders unless these are more than half of them, and, where a text has that many
+    placeholders, with all words as they stand.
     """
+    bits = None if wanted is None else let_bits(wanted)
+
+    def found(hashed: Column) -> Column:
+        every = F.transform(windows(F.size(hashed), size), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashed, i, size)).alias("hash")))
+        return every if bits is None else F.filter(every, lambda w: bits(w["hash"]))
 
     def hits(words: Column) -> Column:
-        def found(hashed: Column) -> Column:
-            every = F.transform(windows(F.size(hashed), size), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashed, i, size)).alias("hash")))
-            if wanted is not None:
-                bits = let_bits(wanted)
-                every = F.filter(every, lambda w: bits(w["hash"]))
-            full = F.transform(
-                every,
-                lambda w: F.struct(
-                    w["at"].alias("at"),
-                    w["hash"].alias("hash"),
-                    F.transform(F.slice(words, w["at"], size), lambda x: F.lower(x)).alias("words"),
-                    F.transform(F.slice(words, w["at"], size), lambda x, k: placeholder(words, x, w["at"] - 1 + k).isNotNull()).alias("slots"),
-                ),
-            )
-            return F.filter(full, lambda w: F.size(F.filter(w["slots"], lambda s: s)) * 2 <= size)
-
-        return let(F.transform(words, lambda w, i: F.xxhash64(F.coalesce(placeholder(words, w, i), F.lower(w)))), found)
+        def of_kinds(kinds: Column) -> Column:
+            def full(every: Column) -> Column:
+                return F.transform(
+                    every,
+                    lambda w: F.struct(
+                        w["at"].alias("at"),
+                        w["hash"].alias("hash"),
+                        F.transform(F.slice(words, w["at"], size), plain).alias("words"),
+                        F.transform(F.slice(kinds, w["at"], size), lambda k: k.isNotNull()).alias("slots"),
+                    ),
+                )
+
+            templates = full(found_in(F.transform(words, lambda w, i: F.xxhash64(F.coalesce(F.get(kinds, i), plain(w))))))
+            light = F.filter(templates, lambda w: F.size(F.filter(w["slots"], lambda s: s)) * 2 <= size)
+            as_they_stand = full(found_in(F.transform(words, lambda w: F.xxhash64(plain(w)))))
+            return F.when(F.size(F.filter(kinds, lambda k: k.isNotNull())) * 2 > size, F.array_union(light, as_they_stand)).otherwise(light)
+
+        return let(F.transform(words, lambda w, i: placeholder(words, w, i)), of_kinds)
+
+    def found_in(hashed: Column) -> Column:
+        return let(hashed, found)
 
     return let(raw_words(text), hits)
 
