@@ -219,6 +219,15 @@ def test_op7_items_full_of_numbers(spark, tables):
     assert items_found(spark, tables, item, [item, f"so {item}, please", "Compute the sum 12 + 33 + 54 + 75 + 26 + 87"]) == [0, 1]
 
 
+def test_op7_copies_with_a_shift(spark, tables):
+    item = "when the long day was over and the shop closed Anna counted all of her apples and gave half away"
+    longer, word = item.replace("Anna", "Mary Ann"), item.replace("closed", "finally closed")
+    assert items_found(spark, tables, item, [longer, word, item.replace("shop ", ""), "when the long day was over and the shop closed we slept"]) == [0, 1, 2]
+    twice = "a train that leaves at 9 with all its people on board still waits here for 9 whole minutes each day"
+    shifted = twice.replace("board", "board today")
+    assert items_found(spark, tables, twice, [shifted.replace("9", "7"), shifted.replace("9 whole", "8 whole")]) == [0]
+
+
 @pytest.mark.parametrize("size", [1, 5])
 def test_bit_map_only_saves_work(spark, size):
     bits = dc.long_array([(1 << 63) - 1] * (1 << size))

@@ -7,9 +7,12 @@ documents' windows are equi-joined with those of the benchmark. A bit map of the
 bounded size, drops the other windows before any row is made of them; if the benchmark outgrows the map, more
 windows pass it and the join still decides.
 
-Matches of a document and an item with the same distance between their places belong together. The words of the
-item that their windows cover are counted, and their slots - places with a placeholder - must be consistent:
-wherever the item repeats a value, the document repeats the value that stands for it. A document is contaminated
+A run of names is one canonical word ("Mary Ann" stands for "Anna"); numbers next to each other stay apart.
+
+Matches of a document and an item with the same distance between their places belong together. Their slots -
+places with a placeholder - must be consistent: wherever the item repeats a value, the document repeats the value
+that stands for it. Distances that differ by up to ``DRIFT`` words (a word put in or left out, a longer name) are
+joined where their slots are consistent with each other; the item's words that their windows cover are counted. A document is contaminated
 by an item if consistent matches cover ``COVERED`` of its words, or the share ``SHARE`` of them.
 
 Windows with more than half of their words in placeholders (sums, tables, lists of names) say too little as
@@ -28,6 +31,8 @@ from .native import let, long_array, windows
 
 WINDOW, SHORTEST = 8, 4
 COVERED, SHARE = 13, 0.8
+#: Words by which the parts of one copy may be shifted against each other.
+DRIFT = 8
 #: Bits of the map: 16 a window of the benchmark, between 2^13 and 2^20.
 BITS_A_WINDOW, LEAST_BITS, MOST_BITS = 16, 1 << 13, 1 << 20
 NAME = ""  # private use: marks a name inside marked text
@@ -66,8 +71,17 @@ def plain(word: Column) -> Column:
     return F.lower(F.translate(word, NAME, ""))
 
 
+def template_places(words: Column) -> Column:
+    """0-based places of the words that begin a canonical word: a run of names is one."""
+
+    def goes_on(i: Column) -> Column:
+        return F.get(words, i).startswith(NAME) & F.coalesce(F.get(words, i - 1).startswith(NAME), F.lit(False))
+
+    return F.filter(F.transform(words, lambda w, i: i), lambda i: ~goes_on(i))
+
+
 def matches_of(text: Column, size: int, wanted: Column | None) -> Column:
-    """Array of (place, window hash, words, slots) of a text's windows, places from 1.
+    """Array of (place, end, window hash, words, slots) of a text's windows, places from 1, both ends included.
 
     ``wanted``: array of longs, a bit map; windows without their bit are left out. slots: whether each word is one.
     Windows are hashed with placeholders unless these are more than half of them, and, where a text has that many
@@ -79,29 +93,49 @@ def matches_of(text: Column, size: int, wanted: Column | None) -> Column:
         every = F.transform(windows(F.size(hashed), size), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashed, i, size)).alias("hash")))
         return every if bits is None else F.filter(every, lambda w: bits(w["hash"]))
 
+    def found_in(hashed: Column) -> Column:
+        return let(hashed, found)
+
     def hits(words: Column) -> Column:
+        def full(every: Column, kinds: Column) -> Column:
+            return F.transform(
+                every,
+                lambda w: F.struct(
+                    w["at"].alias("at"),
+                    (w["at"] + (size - 1)).alias("end"),
+                    w["hash"].alias("hash"),
+                    F.transform(F.slice(words, w["at"], size), plain).alias("words"),
+                    F.transform(F.slice(kinds, w["at"], size), lambda k: k.isNotNull()).alias("slots"),
+                ),
+            )
+
+        def templates(kinds: Column, places: Column) -> Column:
+            def next_place(k: Column) -> Column:
+                return F.coalesce(F.get(places, k + 1), F.size(words))
+
+            def value(k: Column) -> Column:
+                return F.array_join(F.transform(F.slice(words, F.get(places, k) + 1, next_place(k) - F.get(places, k)), plain), " ")
+
+            hashes = F.transform(places, lambda i: F.xxhash64(F.coalesce(F.get(kinds, i), plain(F.get(words, i)))))
+            every = F.transform(
+                found_in(hashes),
+                lambda w: F.struct(
+                    (F.get(places, w["at"] - 1) + 1).alias("at"),
+                    next_place(w["at"] + (size - 2)).alias("end"),
+                    w["hash"].alias("hash"),
+                    F.transform(F.sequence(w["at"] - 1, w["at"] + (size - 2)), value).alias("words"),
+                    F.transform(F.slice(places, w["at"], size), lambda i: F.get(kinds, i).isNotNull()).alias("slots"),
+                ),
+            )
+            return F.filter(every, lambda w: F.size(F.filter(w["slots"], lambda x: x)) * 2 <= size)
+
         def of_kinds(kinds: Column) -> Column:
-            def full(every: Column) -> Column:
-                return F.transform(
-                    every,
-                    lambda w: F.struct(
-                        w["at"].alias("at"),
-                        w["hash"].alias("hash"),
-                        F.transform(F.slice(words, w["at"], size), plain).alias("words"),
-                        F.transform(F.slice(kinds, w["at"], size), lambda k: k.isNotNull()).alias("slots"),
-                    ),
-                )
-
-            templates = full(found_in(F.transform(words, lambda w, i: F.xxhash64(F.coalesce(F.get(kinds, i), plain(w))))))
-            light = F.filter(templates, lambda w: F.size(F.filter(w["slots"], lambda s: s)) * 2 <= size)
-            as_they_stand = full(found_in(F.transform(words, lambda w: F.xxhash64(plain(w)))))
+            light = let(template_places(words), lambda places: templates(kinds, places))
+            as_they_stand = full(found_in(F.transform(words, lambda w: F.xxhash64(plain(w)))), kinds)
             return F.when(F.size(F.filter(kinds, lambda k: k.isNotNull())) * 2 > size, F.array_union(light, as_they_stand)).otherwise(light)
 
         return let(F.transform(words, lambda w, i: placeholder(words, w, i)), of_kinds)
 
-    def found_in(hashed: Column) -> Column:
-        return let(hashed, found)
-
     return let(raw_words(text), hits)
 
 
@@ -115,15 +149,36 @@ def let_bits(wanted: Column):
     return bit
 
 
+def joined_lines(lines: Column) -> Column:
+    """Item places covered by the lines of one neighbourhood: from the longest on, each that contradicts no earlier one is added."""
+
+    def added(held: Column, line: Column) -> Column:
+        pairs = F.array_union(held["pairs"], line["pairs"])
+        return F.when(agree(pairs), F.struct(F.array_union(held["places"], line["places"]).alias("places"), pairs.alias("pairs"))).otherwise(held)
+
+    none = F.struct(F.array().cast("array<int>").alias("places"), F.array().cast("array<struct<item:string,doc:string>>").alias("pairs"))
+    return F.size(F.aggregate(F.sort_array(lines, asc=False), none, added, lambda held: held["places"]))
+
+
+def agree(pairs: Column) -> Column:
+    return F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["item"])))
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, covered, item_words) of every document and item that contaminates it."""
-    items = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", "text", F.size(raw_words(F.col("text"))).alias("item_words")).filter(F.col("item_words") >= SHORTEST)
+    counted = benchmark.filter(F.col("item_id").isNotNull()).select(
+        "item_id", "text", F.size(raw_words(F.col("text"))).alias("item_words"), let(raw_words(marked_start(F.col("text"))), lambda w: F.size(template_places(w))).alias("template_words")
+    )
+    long_enough = F.when(F.col("template_words") >= SHORTEST, F.col("template_words")).otherwise(F.col("item_words"))
+    items = counted.filter(F.col("item_words") >= SHORTEST).select("item_id", "text", "item_words", F.least(long_enough, F.lit(WINDOW)).alias("n"))
     found = None
-    for size in [r[0] for r in items.select(F.least("item_words", F.lit(WINDOW)).alias("n")).distinct().orderBy("n").collect()]:  # WINDOW values at most
-        of_size = items.filter(F.least("item_words", F.lit(WINDOW)) == size)
+    for size in [r[0] for r in items.select("n").distinct().orderBy("n").collect()]:  # WINDOW values at most
+        of_size = items.filter(F.col("n") == size)
         inside = F.filter(matches_of(marked_start(F.col("text")), size, None), lambda m: m["at"] == 1)
         every = F.array_union(matches_of(F.col("text"), size, None), inside)
-        theirs = of_size.select("item_id", "item_words", F.explode(every).alias("m")).select("item_id", "item_words", F.col("m.at").alias("item_at"), F.col("m.hash").alias("hash"), F.col("m.words").alias("item_text"), F.col("m.slots").alias("item_slots"))
+        theirs = of_size.select("item_id", "item_words", F.explode(every).alias("m")).select(
+            "item_id", "item_words", F.col("m.at").alias("item_at"), F.col("m.end").alias("item_end"), F.col("m.hash").alias("hash"), F.col("m.words").alias("item_text"), F.col("m.slots").alias("item_slots")
+        )
         n = theirs.select("hash").distinct().count()
         bits = min(MOST_BITS, max(LEAST_BITS, 1 << (n * BITS_A_WINDOW - 1).bit_length() if n else 0))
         place = F.expr(f"hash & {bits - 1}")
@@ -134,12 +189,15 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         ours = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(matches_of(F.col("text"), size, long_array(words))).alias("m")).select("doc_id", "text_hash", F.col("m.at").alias("at"), F.col("m.hash").alias("hash"), F.col("m.words").alias("words"), F.col("m.slots").alias("slots"))
         both = ours.join(theirs, "hash")
         pairs = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.struct(F.get("item_text", k).alias("item"), F.get("words", k).alias("doc"), (F.get("slots", k) | F.get("item_slots", k)).alias("slot")))
-        lined = both.groupBy("doc_id", "text_hash", "item_id", "item_words", (F.col("at") - F.col("item_at")).alias("line")).agg(
-            F.array_sort(F.collect_set("item_at")).alias("places"), F.array_distinct(F.flatten(F.collect_set(F.filter(pairs, lambda p: p["slot"])))).alias("pairs")
+        values = F.transform(F.filter(pairs, lambda p: p["slot"]), lambda p: F.struct(p["item"].alias("item"), p["doc"].alias("doc")))
+        one = ("doc_id", "text_hash", "item_id", "item_words")
+        lined = both.groupBy(*one, (F.col("at") - F.col("item_at")).alias("line")).agg(
+            F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("item_at", "item_end")), lambda x: F.sequence(x["item_at"], x["item_end"]))))).alias("places"),
+            F.array_distinct(F.flatten(F.collect_set(values))).alias("pairs"),
         )
-        covered = size + F.aggregate(F.sequence(F.lit(1), F.size("places")), F.lit(0), lambda a, k: a + F.when(k < F.size("places"), F.least(F.lit(size), F.get("places", k) - F.get("places", k - 1))).otherwise(0))
-        consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
-        part = lined.filter(consistent).select("doc_id", "text_hash", "item_id", "item_words", covered.alias("covered"))
+        line = F.struct(F.size("places").alias("n"), F.col("line"), F.col("places"), F.col("pairs"))
+        near = F.floor(F.col("line") / F.lit(DRIFT))
+        part = lined.filter(agree(F.col("pairs"))).select(*one, F.explode(F.array(near - 1, near)).alias("near"), line.alias("l")).groupBy(*one, "near").agg(joined_lines(F.collect_list("l")).alias("covered")).drop("near")  # 2 * DRIFT lines at most
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("item_words"), F.lit(0).alias("covered")).filter(F.lit(False))
