@@ -228,6 +228,14 @@ def test_op7_copies_with_a_shift(spark, tables):
     assert items_found(spark, tables, twice, [shifted.replace("9", "7"), shifted.replace("9 whole", "8 whole")]) == [0]
 
 
+def test_op7_copies_in_another_case(spark, tables):
+    item = "What is the capital of France and which river flows through Paris"
+    other = "Two friends of Rosa drive 120 km from Berlin to Prague and then walk 7 more"
+    texts = [item, item.lower(), item.upper(), item.title(), item.replace(" ", "  ")]
+    assert items_found(spark, tables, item, [*texts, "what is the capital of france"]) == [0, 1, 2, 3, 4]
+    assert items_found(spark, tables, other, [x.replace("120", "95") for x in (other.lower(), other.upper(), other.title(), "so " + other)]) == [0, 1, 2, 3]
+
+
 @pytest.mark.parametrize("size", [1, 5])
 def test_bit_map_only_saves_work(spark, size):
     bits = dc.long_array([(1 << 63) - 1] * (1 << size))

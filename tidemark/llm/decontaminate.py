@@ -15,6 +15,9 @@ that stands for it. Distances that differ by up to ``DRIFT`` words (a word put i
 joined where their slots are consistent with each other; the item's words that their windows cover are counted. A document is contaminated
 by an item if consistent matches cover ``COVERED`` of its words, or the share ``SHARE`` of them.
 
+Case marks the names, so every window is also hashed with its names as lower-cased words: a copy in lower case,
+upper case or title case matches by these.
+
 Windows with more than half of their words in placeholders (sums, tables, lists of names) say too little as
 templates: they match only where all their words agree, so an exact copy always matches.
 
@@ -36,6 +39,7 @@ DRIFT = 8
 #: Bits of the map: 16 a window of the benchmark, between 2^13 and 2^20.
 BITS_A_WINDOW, LEAST_BITS, MOST_BITS = 16, 1 << 13, 1 << 20
 NAME = ""  # private use: marks a name inside marked text
+A_NAME = "\x01name"
 UNITS = (
     "mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs oz pound pounds ounce ounces ml cl l liter liters litre litres gallon gallons "
     "ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years hz khz mhz ghz w kw mw v kv a ma j kj cal kcal pa kpa bar k c f "
@@ -45,7 +49,7 @@ UNITS = (
 
 
 def raw_words(text: Column) -> Column:
-    marked = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;]\s)(?=\p{Lu}\p{Ll})", NAME)
+    marked = F.regexp_replace(text, r"([\p{Ll}\p{N},;]\s+)(?=\p{Lu}\p{Ll})", "$1" + NAME)
     return F.regexp_extract_all(F.coalesce(marked, F.lit("")), F.lit(NAME + r"?[\p{L}\p{M}]+|\p{N}+(?:[.,:]\p{N}+)*"), F.lit(0))
 
 
@@ -58,34 +62,38 @@ def is_number(word: Column) -> Column:
     return (word >= "0") & (word < ":")
 
 
+def plain(word: Column) -> Column:
+    return F.lower(F.translate(word, NAME, ""))
+
+
 def placeholder(words: Column, word: Column, i: Column) -> Column:
     """The placeholder of the word at 0-based place i; null if it is none."""
     return (
         F.when(is_number(word), F.lit("\x01number"))
-        .when(word.startswith(NAME), F.lit("\x01name"))
-        .when(F.lower(word).isin(UNITS) & is_number(F.get(words, i - 1)), F.lit("\x01unit"))
+        .when(plain(word).isin(UNITS) & is_number(F.get(words, i - 1)), F.lit("\x01unit"))
+        .when(word.startswith(NAME), F.lit(A_NAME))
     )
 
 
-def plain(word: Column) -> Column:
-    return F.lower(F.translate(word, NAME, ""))
+def kinds_of(words: Column) -> Column:
+    return F.transform(words, lambda w, i: placeholder(words, w, i))
 
 
-def template_places(words: Column) -> Column:
+def template_places(kinds: Column) -> Column:
     """0-based places of the words that begin a canonical word: a run of names is one."""
 
     def goes_on(i: Column) -> Column:
-        return F.get(words, i).startswith(NAME) & F.coalesce(F.get(words, i - 1).startswith(NAME), F.lit(False))
+        return F.coalesce((F.get(kinds, i) == A_NAME) & (F.get(kinds, i - 1) == A_NAME), F.lit(False))
 
-    return F.filter(F.transform(words, lambda w, i: i), lambda i: ~goes_on(i))
+    return F.filter(F.transform(kinds, lambda k, i: i), lambda i: ~goes_on(i))
 
 
 def matches_of(text: Column, size: int, wanted: Column | None) -> Column:
     """Array of (place, end, window hash, words, slots) of a text's windows, places from 1, both ends included.
 
     ``wanted``: array of longs, a bit map; windows without their bit are left out. slots: whether each word is one.
-    Windows are hashed with placeholders unless these are more than half of them, and, where a text has that many
-    placeholders, with all words as they stand.
+    Windows are hashed with placeholders, and again with names as words, unless placeholders are more than half of
+    them; where a text has that many numbers and units, also with all words as they stand.
     """
     bits = None if wanted is None else let_bits(wanted)
 
@@ -130,11 +138,14 @@ def matches_of(text: Column, size: int, wanted: Column | None) -> Column:
             return F.filter(every, lambda w: F.size(F.filter(w["slots"], lambda x: x)) * 2 <= size)
 
         def of_kinds(kinds: Column) -> Column:
-            light = let(template_places(words), lambda places: templates(kinds, places))
+            with_names = let(template_places(kinds), lambda places: templates(kinds, places))
+            no_name = full(found_in(F.transform(words, lambda w, i: F.xxhash64(F.coalesce(F.nullif(F.get(kinds, i), F.lit(A_NAME)), plain(w))))), kinds)
+            light = F.filter(no_name, lambda w: F.size(F.filter(F.slice(kinds, w["at"], size), lambda k: k != A_NAME)) * 2 <= size)
             as_they_stand = full(found_in(F.transform(words, lambda w: F.xxhash64(plain(w)))), kinds)
-            return F.when(F.size(F.filter(kinds, lambda k: k.isNotNull())) * 2 > size, F.array_union(light, as_they_stand)).otherwise(light)
+            both = F.when(F.array_contains(kinds, A_NAME), F.array_union(with_names, light)).otherwise(light)
+            return F.when(F.size(F.filter(kinds, lambda k: k != A_NAME)) * 2 > size, F.array_union(both, as_they_stand)).otherwise(both)
 
-        return let(F.transform(words, lambda w, i: placeholder(words, w, i)), of_kinds)
+        return let(kinds_of(words), of_kinds)
 
     return let(raw_words(text), hits)
 
@@ -167,7 +178,7 @@ def agree(pairs: Column) -> Column:
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, covered, item_words) of every document and item that contaminates it."""
     counted = benchmark.filter(F.col("item_id").isNotNull()).select(
-        "item_id", "text", F.size(raw_words(F.col("text"))).alias("item_words"), let(raw_words(marked_start(F.col("text"))), lambda w: F.size(template_places(w))).alias("template_words")
+        "item_id", "text", F.size(raw_words(F.col("text"))).alias("item_words"), let(let(raw_words(marked_start(F.col("text"))), kinds_of), lambda k: F.size(template_places(k))).alias("template_words")
     )
     long_enough = F.when(F.col("template_words") >= SHORTEST, F.col("template_words")).otherwise(F.col("item_words"))
     items = counted.filter(F.col("item_words") >= SHORTEST).select("item_id", "text", "item_words", F.least(long_enough, F.lit(WINDOW)).alias("n"))
