@@ -81,6 +81,29 @@ def test_secrets():
     assert re.fullmatch(r'token = "[0-9a-f]{40}" and "token = " alone', a) and "04dbebab" not in a and len(spans) == 1
 
 
+@pytest.mark.parametrize("value", ["+33 6 12 34 56 78", "01 23 45 67 89", "612 34 56 78", "5 Mar 2024", "5. März 2024", "5 mars 2024", "5 de enero de 2024", "Mar 5, 2024"])
+def test_forms_of_the_corpus_languages(value):
+    p = pii.Pseudonymiser(KEY)
+    new, spans = p.text(f"so {value} it is")
+    assert len(spans) == 1 and value not in new
+    assert len(p.text(new)[1]) == 1  # the pseudonym validates too
+
+
+def test_one_day_in_several_layouts_stays_one_day():
+    p = pii.Pseudonymiser(KEY)
+    day = pii.dt.date.fromisoformat(p.text("on 2024-03-05")[0][3:])
+    for value, names in (("5 Mar 2024", pii.MONTHS[4]), ("5. März 2024", pii.MONTHS[1]), ("5 mars 2024", pii.MONTHS[2])):
+        new = p.text(f"on {value}")[0]
+        assert str(day.year) in new and names[day.month - 1] in new.lower() and new[3:].startswith(str(day.day))
+
+
+def test_long_local_parts_change_from_their_start():
+    local = "head.of.the.part" + "x1y2" * 200
+    new, spans = pii.Pseudonymiser(KEY).text(f"to {local}@example.org now")
+    assert [s[1] for s in spans] == [3]
+    assert "head.of.the" not in new and new.endswith("@example.org now")
+
+
 def test_op1_query_edges(spark, tables):
     rows = [*ODD, (9, "mail a.b@example.com twice a.b@example.com", "en", "s", 1)]
     d = tables(documents=rows)

@@ -10,7 +10,8 @@ Kinds, in the order in which overlapping finds are settled:
 * SECRET: the value after token, key, secret or password and = or :, each character within its class.
 * IBAN: the account part; country stays, check digits are computed anew.
 * CARD: 13 to 19 digits that pass Luhn; first digit stays, check digit is computed anew.
-* SSN: ddd-dd-dddd in issued ranges. PHONE: national digits; +country stays. IPV4: all four bytes.
+* SSN: ddd-dd-dddd in issued ranges. PHONE: national digits; +country stays, and the
+  first digit of national numbers in pairs. IPV4: all four bytes.
 * DATE: calendar dates from 1900 to 2099, permuted by day number within that range, same layout.
 
 Network: a value is a mixed-radix number split into two halves of sizes A and B; round i adds
@@ -40,21 +41,39 @@ SMALL = 10_000
 #: The key of the registered queries; a real deployment passes its own.
 DEMO_KEY = b"tidemark demonstration key"
 KINDS = ("EMAIL", "SECRET", "IBAN", "CARD", "SSN", "PHONE", "IPV4", "DATE")
-MONTHS = "january february march april may june july august september october november december".split()
+#: Month names, then abbreviations, of the corpus languages; a name in several lists counts for the first.
+MONTHS = [
+    x.split()
+    for x in (
+        "january february march april may june july august september october november december",
+        "januar februar märz april mai juni juli august september oktober november dezember",
+        "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+        "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+        "jan feb mar apr may jun jul aug sep oct nov dec",
+        "jan feb mär apr mai jun jul aug sep okt nov dez",
+        "janv févr mars avr mai juin juil août sept oct nov déc",
+        "ene feb mar abr may jun jul ago sep oct nov dic",
+    )
+]
+MONTH_OF = {name: (names, i) for names in reversed(MONTHS) for i, name in enumerate(names)}
+A_MONTH = "|".join(sorted(MONTH_OF, key=lambda name: (-len(name), name)))
 FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
 
-EMAIL_LOCAL = re.compile(r"[\w.+%-]+\Z")
+EMAIL_LOCAL = re.compile(r"[\w.+%-]")
+LOCAL_PIECE = 64  # longer local parts are permuted in pieces: half a piece is less than a digest can shift
 EMAIL_DOMAIN = re.compile(r"(?:[\w-]+\.)+[^\W\d_]{2,}")
 SECRET = re.compile(r"""\b(?:token|api[ _-]?key|access[ _-]?key|secret|password|passwd|pwd)["']?\s*[=:]\s*(?:"([^"\s]{6,})"|'([^'\s]{6,})'|([^\s"'|,;]{6,}))""", re.I)
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 RUN = re.compile(r"[+(]?\d[\d ().:/-]{4,}\d")
 CARD = re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)")
 SSN = re.compile(r"(?<![\d-])(\d{3})-(\d{2})-(\d{4})(?![\d-])")
-PHONE = re.compile(r"(?<![\w.])(\+\d{1,3}[ .-]?)?(\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w]|-\d)|(?<![\w.])(\+\d{1,3})((?:[ .-]?\d{2,4}){3,5})(?![\w]|-\d)")
+PHONE = re.compile(r"(?<![\w.])(\+\d{1,3}[ .-]?)?(\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w]|-\d)|(?<![\w.])(\+\d{1,3})((?:[ .-]?\d{1,4}){3,5})(?![\w]|-\d)")
+#: National numbers in pairs: 01 23 45 67 89, 612 34 56 78.
+PHONE_PAIRS = re.compile(r"(?<![\w.+-])(?<!\d[ .-])(?:0\d([ .-])\d\d(?:\1\d\d){3}|[6-9]\d\d([ .-])\d\d(?:\2\d\d){2})(?!\w|[ .-]\d)")
 IPV4 = re.compile(r"(?<![\w.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?!\w|\.\d)")
 ISO_DATE = re.compile(r"(?<![\d-])(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?![\d/-])")
 DAY_DATE = re.compile(r"(?<![\d./-])(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(?![\d/-])")
-NAMED_DATE = re.compile(r"(?<!\w)(?:(\d{1,2})(\.? )(" + "|".join(MONTHS) + r")( )(\d{4})|(" + "|".join(MONTHS) + r")( )(\d{1,2})(, )(\d{4}))(?!\w)", re.I)
+NAMED_DATE = re.compile(rf"(?<!\w)(?:(\d{{1,2}})(\.? (?:de )?)({A_MONTH})(\.? (?:de )?)(\d{{4}})|({A_MONTH})(\.? )(\d{{1,2}})(, )(\d{{4}}))(?!\w)", re.I)
 
 
 class Feistel:
@@ -158,9 +177,12 @@ class Pseudonymiser:
     def email(self, text: str):
         at = text.find("@")
         while at >= 0:
-            local, domain = EMAIL_LOCAL.search(text, max(0, at - 64), at), EMAIL_DOMAIN.match(text, at + 1)
-            if local and domain and (start := local.start() + len(local[0]) - len(local[0].lstrip(".+%-"))) < at and text[at - 1] != ".":
-                yield start, at, self._in_class(text[start:at], "EMAIL"), (start, domain.end())
+            start, domain = at, EMAIL_DOMAIN.match(text, at + 1)
+            while domain and start and EMAIL_LOCAL.match(text, start - 1):
+                start -= 1
+            start += len(text[start:at]) - len(text[start:at].lstrip(".+%-"))
+            if domain and start < at and text[at - 1] != ".":
+                yield start, at, "".join(self._in_class(text[i : min(i + LOCAL_PIECE, at)], "EMAIL") for i in range(start, at, LOCAL_PIECE)), (start, domain.end())
             at = text.find("@", at + 1)
 
     def secret(self, text: str):
@@ -207,6 +229,11 @@ class Pseudonymiser:
             if 7 <= len(digits) <= 14:
                 yield m.start(g), m.end(g), self._put_digits(m[g], self.feistel.digits(digits, [10] * len(digits), "PHONE")), m.span()
 
+        for m in PHONE_PAIRS.finditer(text):
+            digits = [int(c) for c in m[0] if c.isdecimal()]
+            new = self.feistel.digits(digits[1:], [10] * (len(digits) - 1), f"PHONE{digits[0]}")
+            yield m.start(), m.end(), self._put_digits(m[0], [digits[0], *new]), m.span()
+
     def ipv4(self, text: str):
         for m in IPV4.finditer(text):
             parts = [int(m[i]) for i in range(1, 5)]
@@ -235,8 +262,9 @@ class Pseudonymiser:
                     break
         for m in NAMED_DATE.finditer(text):
             name = m[3] or m[6]
-            if new := self._day(int(m[5] or m[10]), MONTHS.index(name.lower()) + 1, int(m[1] or m[8])):
-                month = MONTHS[new.month - 1]
+            names, place = MONTH_OF[name.lower()]
+            if new := self._day(int(m[5] or m[10]), place + 1, int(m[1] or m[8])):
+                month = names[new.month - 1]
                 month = month.upper() if name.isupper() else month.title() if name[0].isupper() else month
                 yield m.start(), m.end(), f"{new.day}{m[2]}{month}{m[4]}{new.year}" if m[1] else f"{month}{m[7]}{new.day}{m[9]}{new.year}", m.span()
 
