@@ -43,30 +43,64 @@ LICENSED = [
 def brute_licenses(rows):
     out = []
     for d, x, *_ in rows:
-        x = x or ""
-        low = re.sub("[A-Z]", lambda m: m[0].lower(), x)
-        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
         places = [(i, label) for p, label in lj.PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
-        labels, best, blocks = set(), 0.0, set()
-        for b, line in enumerate(re.split(r"\n|(?<=[.!?;])\s+", x)):
-            w = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line.lower()))
-            for t, label in lj.TEMPLATES:
-                tw = set(lj.template_words(t))
-                if len(w & tw) >= math.ceil(lj.THRESHOLD * len(tw) - 1e-9):
+        labels, best, held = set(), 0.0, set()
+        for k, (t, label, deciding) in enumerate(lj.TEMPLATES):
+            every = re.findall("[a-z0-9]+", t.lower())
+            tw, deciding = set(every), deciding.split()
+            for i in range(len(words)):
+                run = words[i : i + 2 * len(every)]
+                found = len(tw.intersection(run))
+                if found >= math.ceil(lj.THRESHOLD * len(tw) - 1e-9) and any(run[j : j + len(deciding)] == deciding for j in range(len(run))):
                     labels.add(label)
-                    best = max(best, len(w & tw) / len(tw))
-                    blocks.add(b)
+                    best = max(best, found / len(tw))
+                    held.add(k)
         base = {label for _, label in places}
-        out.append((d, len(words), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if places else best, len(blocks)))
+        out.append((d, len(words), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if places else best, len(held)))
     return out
 
 
-def test_op2_against_all_pairs(spark, tables):
-    rows = ODD + LICENSED
+def test_op2_against_all_runs(spark, tables):
+    rows = [r for r in ODD if r[0] != 4] + LICENSED + [doc(200 + i, x) for i, (x, _) in enumerate(NOTICES)]
     df = lj.op2_license_join(spark, tables(documents=rows))
     assert not PYTHON_NODES.search(plan_of(df))
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, brute_licenses(rows)))
     assert lj.op2_license_join(spark, tables()).count() == 0
+    assert lj.op2_license_join(spark, tables(documents=ODD)).count() == len(ODD)
+
+
+#: Notices as they are published, hard-wrapped, and texts that are none; with the labels that the method must give.
+NOTICES = [
+    ('Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction', {"mit"}),
+    ("# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:\n#", {"bsd"}),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that", {"isc"}),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", {"mpl-2.0"}),
+    ("it under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either", {"agpl"}),
+    ("it under the terms of the GNU General Public License as published by\nthe Free Software Foundation", {"gpl"}),
+    ("Licensed under the Apache License, Version 2.0", {"apache", "apache-2.0"}),
+    ("Licensed under CC BY 4.0", {"cc-by", "cc-by-4.0"}),
+    ("Licensed under CC BY-NC 4.0", {"cc-by", "cc-by-nc-4.0"}),
+    ("Licensed under CC BY-SA 4.0", {"cc-by", "cc-by-sa-4.0"}),
+    ("Licensed under CC BY-ND 4.0", {"cc-by", "cc-by-nd-4.0"}),
+    ("Licensed under CC BY-NC-SA 4.0", {"cc-by", "cc-by-nc-sa-4.0"}),
+    ("under the license released by MIT press, see the terms", set()),
+    ("This work is licensed under the GNU General Public License, version 3", {"gpl", "gpl-3.0"}),
+    ("released into " + "other words here " * 60 + "the public domain this is free and unencumbered", set()),
+    ("x y z " * 70 + "Released under the MIT\r\nLicense " + "x y z " * 70, {"mit"}),
+]
+
+
+@pytest.mark.parametrize("k", range(0, 400, 37))
+def test_notices_get_their_own_labels_only(spark, k):
+    shift = "word " * k  # notices at every place of a block
+    df = spark.createDataFrame([(i, shift + x) for i, (x, _) in enumerate(NOTICES)], "doc_id long, text string")
+    got = {i: set() for i in range(len(NOTICES))}
+    for r in lj.template_matches(df).collect():
+        got[r["doc_id"]].add(r["label"])
+    bases = {label for _, label in lj.PHRASES}
+    for i, (x, want) in enumerate(NOTICES):
+        assert got[i] - bases == want - bases or got[i] == want, x
 
 
 def test_op2_sql(spark, sf_dir):
@@ -79,11 +113,17 @@ def test_op2_sql(spark, sf_dir):
 def test_filters_lose_no_pair(spark):
     rnd = random.Random(8)
     words = [f"t{i}" for i in range(30)]
-    templates = [(" ".join(rnd.sample(words, rnd.randrange(2, 12))), f"l{i}") for i in range(12)]
-    rows = [(i, " ".join(rnd.choice([*words, "zz"]) for _ in range(rnd.randrange(1, 25)))) for i in range(150)]
+    templates = [(x := " ".join(rnd.sample(words, rnd.randrange(2, 12))), f"l{i}", x.split()[0]) for i in range(12)]
+    rows = [(i, " ".join(rnd.choice([*words, "zz"]) for _ in range(rnd.randrange(1, 120)))) for i in range(150)]
     for threshold in (0.5, 0.8, 1.0):
         got = {(r["doc_id"], r["template"]) for r in lj.template_matches(spark.createDataFrame(rows, "doc_id long, text string"), templates, threshold).collect()}
-        want = {(d, k) for d, x in rows for k, (t, _) in enumerate(templates) if len(set(x.split()) & set(t.split())) >= max(1, math.ceil(threshold * len(set(t.split())) - 1e-9))}
+        want = set()
+        for d, x in rows:
+            w = x.split()
+            for k, (t, _, deciding) in enumerate(templates):
+                runs = [w[i : i + 2 * len(t.split())] for i in range(len(w))]
+                if any(deciding in r and len(set(r) & set(t.split())) >= max(1, math.ceil(threshold * len(set(t.split())) - 1e-9)) for r in runs):
+                    want.add((d, k))
         assert got == want
 
 
