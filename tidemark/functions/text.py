@@ -56,28 +56,23 @@ def csv_field(text: Column) -> Column:
     return F.when(safe.rlike(r'[,"\n\r]'), F.concat(F.lit('"'), guard, F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(safe)
 
 
+#: What a character becomes inside a JSON string; slashes are escaped too.
+JSON_ESCAPES = {chr(c): f"\\u{c:04x}" for c in range(32)} | {"\\": "\\\\", '"': '\\"', "/": "\\/", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+
 def json_text(text: Column) -> Column:
-    """The inside of a JSON string; slashes are escaped too."""
-    out = cut_field(text)
-    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("/", "\\/"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        out = F.replace(out, F.lit(plain), F.lit(escaped))
-    for c in range(32):
-        if chr(c) not in "\n\r\t":
-            out = F.replace(out, F.lit(chr(c)), F.lit(f"\\u{c:04x}"))
-    return out
+    """The inside of a JSON string. Texts are looked at character by character only where one must be escaped."""
+    safe = cut_field(text)
+    known = F.create_map(*[F.lit(x) for pair in JSON_ESCAPES.items() for x in pair])
+    escaped = F.array_join(F.transform(F.split(safe, ""), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")
+    return F.when(safe.rlike(r'[\x00-\x1f"\\/]'), escaped).otherwise(safe)
 
 
 def significant(value: Column, digits: int = 10) -> Column:
     """A number with so many significant digits, the shorter of plain and exponent form as C's %g picks it; NaN and infinities are null."""
-    exponent = F.regexp_extract(F.format_string(f"%.{digits - 1}e", value), r"e([+-]\d+)$", 1).cast("int")
-    plain = F.lit(None).cast("string")
-    for e in range(-4, digits):
-        plain = F.when(exponent == e, F.format_string(f"%.{max(0, digits - 1 - e)}f", value)).otherwise(plain)
-    strip = lambda s: F.when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
-    parts = F.format_string(f"%.{digits - 1}e", value)
-    mantissa, power = strip(F.regexp_extract(parts, r"^(.*)e", 1)), F.regexp_extract(parts, r"e(.*)$", 1)
-    shown = F.when(exponent.between(-4, digits - 1), strip(plain)).otherwise(F.concat(mantissa, F.lit("e"), power))
-    return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf"))), F.lit("null")).when(value == 0, F.lit("0")).otherwise(shown)
+    number = value.cast("double")
+    shown = F.regexp_replace(F.format_string(f"%.{digits}g", number), r"^(-?\d+)(?:(\.\d*[1-9])0*|\.0*)?(e.*)?$", "$1$2$3")
+    return F.when(number.isNull() | F.isnan(number) | (F.abs(number) == F.lit(float("inf"))), F.lit("null")).when(number == 0, F.lit("0")).otherwise(shown)
 
 
 def label_of(code: Column, labels: dict[int, str], unknown: str = "UNKNOWN") -> Column:

@@ -72,6 +72,45 @@ def dequantize_int4(packed: Column, size: Column, scale: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), size), lambda i: F.when(value(i) > 7, value(i) - 16).otherwise(value(i)) * scale)
 
 
+#: Schemes of quantization and their greatest level: fixed values.
+SCHEMES = {"int8": 127, "uint8": 255, "int4": 7}
+
+
+def params_of(lo: Column, hi: Column, scheme: str) -> tuple[Column, Column]:
+    """Scale and zero point of a scheme for a range of values."""
+    if scheme == "uint8":
+        return F.when(hi == lo, F.lit(1.0)).otherwise((hi - lo) / SCHEMES[scheme]), lo
+    return scale_symmetric(lo, hi, SCHEMES[scheme]), F.lit(0.0)
+
+
+def quantize(a: Column, scheme: str, scale: Column, zero: Column | None = None) -> Column:
+    """Binary codes of a vector by the scheme's name: a byte a value, or half of one for int4."""
+    if scheme == "int4":
+        return quantize_int4(a, scale)
+    if scheme not in SCHEMES:
+        raise ValueError(f"no such scheme: {scheme}")
+    q = quantize_uint8(a, scale, zero) if scheme == "uint8" else quantize_int8(a, scale)
+    return F.unhex(F.array_join(F.transform(q, lambda v: F.lpad(F.hex(v.bitwiseAND(F.lit(255))), 2, "0")), ""))
+
+
+def dequantize_bytes(packed: Column, scheme: str, scale: Column, zero: Column, size: Column) -> Column:
+    if scheme == "int4":
+        return dequantize_int4(packed, size, scale)
+    text = F.hex(packed)
+    code = lambda i: F.conv(F.substr(text, 2 * i - 1, F.lit(2)), 16, 10).cast("int")
+    signed = (lambda v: v) if scheme == "uint8" else (lambda v: F.when(v > 127, v - 256).otherwise(v))
+    return F.transform(F.sequence(F.lit(1), size), lambda i: signed(code(i)) * scale + zero)
+
+
+def quantize_batch(df: DataFrame, column: str, scheme: str, out: str = "codes") -> DataFrame:
+    """``df`` with the codes of ``column`` and the parameters (scale, zero_point, dimension) of its whole range."""
+    r = finite_range(df, column)
+    scale, zero = params_of(F.col("lo"), F.col("hi"), scheme)
+    params = r.select(scale.alias("scale"), zero.alias("zero_point"))
+    both = df.join(F.broadcast(params), F.lit(True))  # one row is broadcast
+    return both.withColumns({out: quantize(F.col(column), scheme, F.col("scale"), F.col("zero_point")), "dimension": F.size(column)})
+
+
 def quantization_params(scheme: str, scale: Column, zero: Column, dimension: Column) -> Column:
     return F.concat(F.lit(f"scheme={scheme};scale="), scale.cast("string"), F.lit(";zero_point="), zero.cast("string"), F.lit(";dimension="), dimension.cast("string"))
 

@@ -28,6 +28,29 @@ def as_of_join(spine: DataFrame, features: DataFrame, key: str, ts: str, payload
     return matched.select(key, ts, *[F.col(f"spine_.{c}").alias(c) for c in others], F.col(f"last_.feature_{ts}").alias(f"feature_{ts}"), *[F.col(f"last_.{c}").alias(c) for c in payload])
 
 
+def as_of_join_by_spans(spine: DataFrame, features: DataFrame, key: str, ts: str, payload: list[str], version: str | None = None, ties: list[str] | None = None, spans: int = 64) -> DataFrame:
+    """The same where one key may hold any share of all rows: rows are dealt out by key and span of time.
+
+    Every span begins with the key's last feature row of the spans before it, found from one row a key and span. The
+    time must be a number; ``spans`` cuts the range of the features' times.
+    """
+    low, high = features.agg(F.min(ts), F.max(ts)).first()
+    low, high = (0, 0) if low is None else (low, high)
+    span = F.least(F.greatest(F.floor((F.col(ts) - F.lit(low)) * spans / F.lit(high - low + 1)), F.lit(0)), F.lit(spans - 1)).cast("int")
+    spread = lambda df: df.withColumn("span_", span)
+    order = F.struct(ts, *[c for c in [version, *(ties or [])] if c])
+    last = spread(features).groupBy(key, "span_").agg(F.max_by(F.struct(*features.columns), order).alias("row_"))
+    seen = Window.partitionBy(key).orderBy("span_")
+    # the last row of a span opens all spans up to the next one that has features
+    until = F.coalesce(F.lead("span_").over(seen), F.lit(spans - 1))
+    carried = last.select(key, "row_", F.explode(F.when(F.col("span_") < spans - 1, F.sequence(F.col("span_") + 1, F.greatest(until, F.col("span_") + 1))).otherwise(F.array().cast("array<int>"))).alias("span_"))
+    opening = carried.select("span_", *[F.col(f"row_.{c}").alias(c) for c in features.columns])
+    both = spread(features).unionByName(opening).withColumn("pair_", F.struct(F.col(key).alias("k"), F.col("span_").alias("s"))).drop(key, "span_")
+    asked = spread(spine).withColumn("pair_", F.struct(F.col(key).alias("k"), F.col("span_").alias("s"))).drop(key, "span_")
+    out = as_of_join(asked, both, "pair_", ts, payload, version, ties)
+    return out.select(F.col("pair_.k").alias(key), *[c for c in out.columns if c != "pair_"])
+
+
 def as_of(features: DataFrame, key: str, ts: str, at, version: str | None = None, ties: list[str] | None = None) -> DataFrame:
     """Every entity's row at a moment; partial maxima come before the shuffle. Entities with no row by then are left out."""
     order = F.struct(ts, *[c for c in [version, *(ties or [])] if c])

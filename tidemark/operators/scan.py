@@ -60,9 +60,35 @@ def in_file_order(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
 
 
-def row_group(df: DataFrame, block_start: int) -> DataFrame:
-    """Rows that the scan read from the split beginning at a byte offset."""
-    return df.filter(F.col("_metadata.file_block_start") == block_start)
+def typed_column(df: DataFrame, name: str, kind: str) -> DataFrame:
+    """One column, read as what it is; asking for another type is an error, nothing is cast."""
+    column = project(df, [name])
+    if column.dtypes[0][1] != kind:
+        raise SchemaMismatch(f"{name} is {column.dtypes[0][1]}, not {kind}")
+    return column
+
+
+def with_row_group(spark, path: str) -> DataFrame:
+    """Rows of all files with file, row_index (in the file) and row_group.
+
+    The row groups' places come from the footers; their table has a row a file and is joined by the file's name.
+    """
+    from ..sources.footers import row_group_places
+
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    places = row_group_places(spark, path).groupBy(plain("file").alias("file")).agg(F.sort_array(F.collect_list("first_row")).alias("starts"))
+    rows = spark.read.parquet(path).select("*", plain(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("row_index"))
+    return rows.join(places, "file").withColumn("row_group", F.size(F.filter("starts", lambda s: s <= F.col("row_index"))) - 1).drop("starts")
+
+
+def row_group(spark, path: str, number: int) -> DataFrame:
+    """Rows of one row group of every file."""
+    return with_row_group(spark, path).filter(F.col("row_group") == number)
+
+
+def by_row_index(spark, path: str) -> DataFrame:
+    """Rows with their place in the file, to be addressed by it."""
+    return spark.read.parquet(path).select(F.col("_metadata.row_index").alias("row_index"), "*")
 
 
 def first_rows(df: DataFrame, n: int = 50, order: list[str] | None = None) -> DataFrame:
@@ -70,6 +96,11 @@ def first_rows(df: DataFrame, n: int = 50, order: list[str] | None = None) -> Da
     return (df.orderBy(*order) if order else df).limit(n)
 
 
+def at_rows(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows at the wanted places (row_index)."""
+    return df.join(wanted.select("row_index").distinct(), "row_index", "left_semi")
+
+
 def union_files(spark, paths: list[str], strict: bool = True) -> DataFrame:
     """Rows of all files; unless strict, missing and damaged files are passed over."""
     reader = spark.read

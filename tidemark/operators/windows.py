@@ -19,16 +19,17 @@ def sliding_rate(df: DataFrame, ts: str, width: int, tie: str, by: list[str] | N
     return df.withColumn("event_count", count).withColumn("alert", F.col("event_count") >= alert_at)
 
 
-def sliding_rate_bucketed(df: DataFrame, ts: str, width: int, tie: str, alert_at: int = 10) -> DataFrame:
-    """The same over one stream of any length: events are dealt out by spans of ``width``.
+def sliding_rate_bucketed(df: DataFrame, ts: str, width: int, tie: str, by: list[str] | None = None, alert_at: int = 10) -> DataFrame:
+    """The same over one stream of any length, or a key with any number of events: they are dealt out by (key and) spans of ``width``.
 
     A window touches its own span and the one before, so each event goes to its own span and, as a mere
     neighbour, to the next.
     """
+    by = by or []
     span = F.floor(F.col(ts) / F.lit(width)).cast("long")
     own = df.withColumn("span_", span).withColumn("own_", F.lit(True))
     lent = df.withColumn("span_", span + 1).withColumn("own_", F.lit(False))
-    counted = sliding_rate(own.unionByName(lent), ts, width, tie, ["span_"], alert_at)
+    counted = sliding_rate(own.unionByName(lent), ts, width, tie, [*by, "span_"], alert_at)
     return counted.filter("own_").drop("span_", "own_")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +56,29 @@ def json_lines(digits: int = 9, price_digits: int = 10) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
+def json_document(decisions: DataFrame, report_id: str, firm_id: str = "", start_ns: int | None = None, end_ns: int | None = None, digits: int = 9, price_digits: int = 10) -> DataFrame:
+    """The lines (place, line) of one JSON document: an envelope with the report's fields and its records in an array.
+
+    Records are lines of their own, so the document is written by all tasks in order and never held by one. Lines are
+    numbered along a sort by range; the commas stand before the records.
+    """
+    from ..operators.aggregates import with_rank
+
+    rows = reported(decisions, start_ns, end_ns)
+    order = [c for c in ("timestamp_ns", "chain_seq") if c in decisions.columns]
+    placed = with_rank(rows.select(F.struct(*order).alias("k"), json_lines(digits, price_digits).alias("line")), "k")
+    head = json.dumps({"report_type": "MIFID_II_TRANSACTION", "report_id": report_id, "firm_id": firm_id}, ensure_ascii=False)[:-1] + ', "records": ['
+    records = placed.select(F.col("rank").alias("place"), F.concat(F.when(F.col("rank") > 1, F.lit(",")).otherwise(F.lit("")), F.col("line")).alias("line"))
+    ends = decisions.sparkSession.createDataFrame([(0, head), ((1 << 62), "]}")], "place long, line string")
+    return ends.filter("place = 0").unionByName(records).unionByName(ends.filter("place > 0")).orderBy("place")
+
+
 def transaction_report(decisions: DataFrame, form: str, start_ns: int | None = None, end_ns: int | None = None, firm_id: str = "", digits: int = 9, price_digits: int = 10) -> DataFrame:
     """One row a record in report order (timestamp_ns, chain_seq, line); ``form`` is csv or ndjson."""
     line = csv_lines(decisions, firm_id, digits, price_digits) if form == "csv" else json_lines(digits, price_digits)
     order = [c for c in ("timestamp_ns", "chain_seq") if c in decisions.columns]
-    return reported(decisions, start_ns, end_ns).select(*order, line.alias("line")).orderBy(*order)
+    # sorted first: the sort's sample and its shuffle then see plain columns, and lines are made by all tasks after it
+    return reported(decisions, start_ns, end_ns).orderBy(*order).select(*order, line.alias("line"))
 
 
 def write_report(lines: DataFrame, path: str, header: str | None = CSV_HEADER) -> None:
@@ -80,8 +100,6 @@ def record_keeping(decisions: DataFrame, inferences: DataFrame, start_ns: int |
 
 def report_json(summary: DataFrame, report_type: str, report_id: str) -> str:
     """A one-row summary as a JSON document, on the driver."""
-    import json
-
     row = summary.first().asDict(recursive=True)
     return json.dumps({"report_type": report_type, "report_id": report_id, **row}, sort_keys=False, default=str)
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import store_of
+
 CHUNKS = "file string, row_group int, column_name string, num_rows long, num_values long, null_count long, min_value string, max_value string, compressed_bytes long, uncompressed_bytes long, codec string, encodings string, has_bloom boolean, has_page_index boolean"
 
 
@@ -17,11 +19,10 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.parquet as pq
-        from pyarrow import fs
 
         for frame in frames:
             for file in frame["file"]:
-                store, name = (fs.LocalFileSystem(), "/" + file[5:].lstrip("/")) if file.startswith("file:") else fs.FileSystem.from_uri(file)
+                store, name = store_of(file)
                 with store.open_input_file(name) as handle:
                     meta = pq.ParquetFile(handle).metadata
                 rows = []
@@ -49,3 +50,33 @@ def file_stats(spark: SparkSession, path: str) -> DataFrame:
 def column_rollup(spark: SparkSession, path: str) -> DataFrame:
     """Bytes, values and nulls by column over all files and row groups."""
     return chunks(spark, path).groupBy("column_name").agg(F.sum("num_values").alias("num_values"), F.sum("null_count").alias("null_count"), F.sum("compressed_bytes").alias("compressed_bytes"), F.sum("uncompressed_bytes").alias("uncompressed_bytes"))
+
+
+def row_group_places(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row_group, first_row, rows) of every row group."""
+    from pyspark.sql import Window
+
+    groups = chunks(spark, path).groupBy("file", "row_group").agg(F.first("num_rows").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("file").orderBy("row_group")) - F.col("rows")
+    return groups.select("file", "row_group", before.alias("first_row"), "rows")
+
+
+def damaged(spark: SparkSession, path: str) -> DataFrame:
+    """(file, reason) of the files whose footer cannot be read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"))
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.parquet as pq
+
+        for frame in frames:
+            bad = []
+            for file in frame["file"]:
+                store, name = store_of(file)
+                try:
+                    with store.open_input_file(name) as handle:
+                        pq.ParquetFile(handle)
+                except Exception as e:  # whatever is wrong with the file is its reason
+                    bad.append((file, type(e).__name__))
+            yield pd.DataFrame(bad, columns=["file", "reason"])
+
+    return files.mapInPandas(read, "file string, reason string")

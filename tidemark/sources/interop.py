@@ -7,6 +7,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tensor element types of column types: fixed values.
+DTYPES = {"boolean": "bool", "tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float32", "double": "float64"}
+
+
+def dtype_of(kind: str) -> str | None:
+    """The tensor element type of a column type; arrays have that of their elements, other types none."""
+    kind = kind.removeprefix("array<").removesuffix(">")
+    return DTYPES.get(kind)
+
+
+def column_type(dtype: str) -> str | None:
+    return {v: k for k, v in DTYPES.items()}.get(dtype)
+
+
+def schema_dtypes(df: DataFrame) -> DataFrame:
+    """(column_name, column_type, dtype) of a frame."""
+    return df.sparkSession.createDataFrame([(n, k, dtype_of(k)) for n, k in df.dtypes], "column_name string, column_type string, dtype string")
+
+
 def from_arrow(spark: SparkSession, table: pa.Table) -> DataFrame:
     return spark.createDataFrame(table)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +30,33 @@ def micros(column: str):
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
-def features(spark: SparkSession, paths: list[str], feature_group: str | None = None) -> DataFrame:
-    """Feature rows of all files; missing and damaged ones are passed over. A group is checked against its column."""
-    df = spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).parquet(*paths)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; under a local master without it, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def store_of(uri: str):
+    """(pyarrow file system, path) of a URI or a plain path."""
+    from pyarrow import fs
+
+    if uri.startswith("file:") or uri.startswith("/"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def features(spark: SparkSession, paths: list[str], feature_group: str | None = None, damaged: str = "fail") -> DataFrame:
+    """Feature rows of all files. A group is checked against its column.
+
+    ``damaged``: ``fail`` at a missing or damaged file, or ``skip`` it; ``footers.damaged`` lists such files.
+    """
+    skip = {"fail": False, "skip": True}[damaged]
+    df = spark.read.option("ignoreMissingFiles", skip).option("ignoreCorruptFiles", skip).parquet(*paths)
     if feature_group is not None and "feature_group" in df.columns:
         df = df.filter(F.col("feature_group") == feature_group)
     return df

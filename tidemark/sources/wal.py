@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .tables import store_of
+
 #: Fixed values of the format.
 RECORD_MAGIC = 0x57414C31
 HEADER_BYTES = 16
@@ -119,6 +121,66 @@ class Writer:
         return out
 
 
+def write_segments(df: DataFrame, path: str, order: list[str], payload: str = "payload", ts: str = "timestamp_ns", roll_bytes: int = ROLL_BYTES, roll_records: int = ROLL_RECORDS) -> DataFrame:
+    """Rows as records, numbered in ``order``, in segments of the shared folder ``path``; a row a segment: file, first_seq, last_seq, bytes.
+
+    Rows are sorted by range and numbered without meeting in one task; each task writes its own segments, rolled by
+    size and number, under names that sort in sequence. A task that runs again writes the same segments.
+    """
+    from ..operators.aggregates import with_rank
+
+    store, folder = store_of(path)
+    store.create_dir(folder, recursive=True)
+    numbered = with_rank(df.select(F.struct(*order).alias("k"), F.col(ts).alias("ts"), F.col(payload).cast("binary").alias("payload")), "k")
+    dealt = numbered.select((F.col("rank") - 1).alias("seq"), "ts", "payload").repartitionByRange("seq").sortWithinPartitions("seq")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        store, folder = store_of(path)
+        attempt, file, rows = TaskContext.get().taskAttemptId(), None, []
+
+        def end():
+            file.close()
+            name = f"wal-{first:020d}.wal"
+            store.move(made, f"{folder}/{name}")
+            rows.append((name, first, last, size))
+
+        for frame in frames:
+            for seq, when, data in zip(frame["seq"], frame["ts"], frame["payload"], strict=True):
+                one = record(int(seq), int(when), bytes(data))
+                if file is not None and (size + len(one) > roll_bytes or last - first + 1 >= roll_records):
+                    end()
+                    file = None
+                if file is None:
+                    first, size = int(seq), HEADER_BYTES
+                    made = f"{folder}/.wal-{first:020d}-{attempt}"
+                    file = store.open_output_stream(made)
+                    file.write(FILE_MAGIC)
+                file.write(one)
+                last, size = int(seq), size + len(one)
+        if file is not None:
+            end()
+        yield pd.DataFrame(rows, columns=["file", "first_seq", "last_seq", "bytes"])
+
+    made = dealt.mapInPandas(run, "file string, first_seq long, last_seq long, bytes long").collect()  # a row a segment
+    return df.sparkSession.createDataFrame(made, "file string, first_seq long, last_seq long, bytes long")
+
+
+def removable_segments(segments: DataFrame, checkpoint_seq: int) -> DataFrame:
+    """Segments whose records all come before the checkpoint."""
+    return segments.filter(F.col("last_seq") < checkpoint_seq)
+
+
+def prune(segments: DataFrame, path: str, checkpoint_seq: int) -> int:
+    """Deletes those segments, and tells how many."""
+    store, folder = store_of(path)
+    names = [r["file"] for r in removable_segments(segments, checkpoint_seq).select("file").toLocalIterator()]
+    for name in names:
+        store.delete_file(f"{folder}/{name}")
+    return len(names)
+
+
 class WalSource(DataSource):
     """``spark.read.format("wal").option("mode", ...).load(path)`` for segments on a path that executors can open."""
 

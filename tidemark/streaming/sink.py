@@ -21,6 +21,16 @@ def compact(records: DataFrame, path: str, checkpoint: str, interval: str | None
     return writer.start(path)
 
 
+def held_back(spark, path: str, schema, max_files: int | None = None, max_bytes: str | None = None) -> DataFrame:
+    """A stream over the files of ``path`` that takes at most so many files or bytes a micro-batch: the watermark by which a slow sink holds its source back."""
+    reader = spark.readStream.schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    if max_bytes is not None:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    return reader.parquet(path)
+
+
 def flush(query: StreamingQuery) -> None:
     query.processAllAvailable()
 
