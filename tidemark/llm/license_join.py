@@ -107,6 +107,7 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = TH
         alpha = max(1, math.ceil(threshold * len(ordered) - 1e-9))
         sides += [(w, k, label, f" {deciding} ", ordered, alpha, len(ordered) - q, 2 * len(all_words(text))) for q, w in enumerate(ordered[: len(ordered) - alpha + 1])]
     theirs = spark.createDataFrame(sides, "word string, template int, label string, deciding string, ordered array<string>, alpha int, rest_t int, run int")
+    # broadcast below: a row a prefix word of a template, whatever the size of the corpus
     least = min((s[5] for s in sides), default=1)
     prefixes = sorted({s[0] for s in sides})
     holds = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words")).filter(F.arrays_overlap("words", strings(prefixes)))
@@ -114,7 +115,7 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = TH
     blocks = holds.select("doc_id", "text_hash", F.explode(F.transform(starts, lambda i: F.slice("words", i, size))).alias("block"))
     ours = blocks.select("*", F.array_intersect(strings(order), F.col("block")).alias("ours")).filter(F.size("ours") >= least)
     prefix = ours.select("*", F.posexplode(F.slice("ours", F.lit(1), F.size("ours") - least + 1)).alias("p", "word"))
-    both = prefix.join(theirs, "word").filter(F.size("ours") >= F.col("alpha")).filter(F.least(F.size("ours") - F.col("p"), F.col("rest_t")) >= F.col("alpha"))
+    both = prefix.join(F.broadcast(theirs), "word").filter(F.size("ours") >= F.col("alpha")).filter(F.least(F.size("ours") - F.col("p"), F.col("rest_t")) >= F.col("alpha"))
     near = both.filter(F.size(F.array_intersect("ours", "ordered")) >= F.col("alpha")).filter(F.concat(F.lit(" "), F.array_join("block", " "), F.lit(" ")).contains(F.col("deciding")))
 
     def held(run: Column) -> Column:
