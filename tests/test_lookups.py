@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import bisect
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, lookups, scan, windows
+from tidemark.operators import aggregates, asof, lookups, scan, windows
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +72,48 @@ def test_sliding_rate_is_the_loop(spark):
             assert (r["event_count"], r["alert"]) == (want, want >= 20)
 
 
+def test_sliding_rate_of_keys_by_spans(spark):
+    df = spark.createDataFrame([(i, i % 3, (i * 7919) % 90) for i in range(300)], "id int, k int, t long")
+    one, other = windows.sliding_rate(df, "t", 9, "id", ["k"]), windows.sliding_rate_bucketed(df, "t", 9, "id", ["k"])
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.select(*one.columns).collect()))
+
+
+@pytest.mark.parametrize("spans", [1, 3, 64])
+def test_as_of_join_by_spans_is_the_plain_one(spark, spans):
+    rnd = random.Random(spans)
+    features = spark.createDataFrame([(rnd.choice(["hot", "hot", "hot", "b", None]), rnd.randrange(100), i, float(i)) for i in range(400)], "k string, t long, v int, f double")
+    spine = spark.createDataFrame([(i, rnd.choice(["hot", "b", "none", None]), rnd.randrange(-10, 120)) for i in range(200)], "id int, k string, t long")
+    for rows in (features, features.limit(0)):
+        one = asof.as_of_join(spine, rows, "k", "t", ["f"], version="v")
+        other = asof.as_of_join_by_spans(spine, rows, "k", "t", ["f"], version="v", spans=spans)
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.select(*one.columns).collect()))
+
+
+@pytest.mark.parametrize("interpolate", [False, True])
+def test_quantiles_are_those_of_the_sorted_values(spark, interpolate):
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["hot"] * 8 + ["a", "b", None]), rnd.choice([None, float("inf"), rnd.gauss(0, 1), round(rnd.gauss(0, 1)) + 0.0])) for _ in range(3000)] + [("one", 7.0)]
+    points = {"lo": 0.0, "p3": 0.3, "mid": 0.5, "p99": 0.99, "hi": 1.0}
+    df = spark.createDataFrame(rows, "g string, x double")
+    for by in ([], ["g"]):
+        got = {r["g"] if by else 0: r for r in aggregates.quantiles(df, "x", points, by, interpolate).collect()}
+        groups = {g if by else 0 for g, x in rows if x is not None}
+        assert set(got) == groups
+        for g in groups:
+            v = sorted(x for h, x in rows if x is not None and (not by or h == g))
+            for name, p in points.items():
+                k = int(p * (len(v) - 1))
+                part = p * (len(v) - 1) - k
+                want = v[k] if not interpolate or not part else (1 - part) * v[k] + part * v[min(k + 1, len(v) - 1)]
+                assert got[g][name] == pytest.approx(want) or interpolate and want == float("inf") and not got[g][name] < want
+    assert aggregates.quantiles(df.limit(0), "x", points, ["g"]).count() == 0
+
+
+def test_ranks_are_one_upward(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"))
+    assert [(r["k"], r["rank"]) for r in aggregates.with_rank(df, "k").orderBy("k").collect()] == [(k, i) for i, k in enumerate(sorted(i * 7919 % 5003 for i in range(5000)), 1)]
+
+
 def test_gaps_and_steps(spark):
     df = spark.createDataFrame([(1,), (5,), (6,), (20,)], "t long")
     assert [(r["gap_start"], r["gap_end"]) for r in windows.gaps(df, "t", 4).collect()] == [(6, 20)]

@@ -42,8 +42,8 @@ def as_of_join_by_spans(spine: DataFrame, features: DataFrame, key: str, ts: str
     last = spread(features).groupBy(key, "span_").agg(F.max_by(F.struct(*features.columns), order).alias("row_"))
     seen = Window.partitionBy(key).orderBy("span_")
     # the last row of a span opens all spans up to the next one that has features
-    until = F.coalesce(F.lead("span_").over(seen), F.lit(spans - 1))
-    carried = last.select(key, "row_", F.explode(F.when(F.col("span_") < spans - 1, F.sequence(F.col("span_") + 1, F.greatest(until, F.col("span_") + 1))).otherwise(F.array().cast("array<int>"))).alias("span_"))
+    reach = last.withColumn("until_", F.coalesce(F.lead("span_").over(seen), F.lit(spans - 1)))
+    carried = reach.filter(F.col("span_") < spans - 1).select(key, "row_", F.explode(F.sequence(F.col("span_") + 1, "until_")).alias("span_"))
     opening = carried.select("span_", *[F.col(f"row_.{c}").alias(c) for c in features.columns])
     both = spread(features).unionByName(opening).withColumn("pair_", F.struct(F.col(key).alias("k"), F.col("span_").alias("s"))).drop(key, "span_")
     asked = spread(spine).withColumn("pair_", F.struct(F.col(key).alias("k"), F.col("span_").alias("s"))).drop(key, "span_")

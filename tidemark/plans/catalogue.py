@@ -90,13 +90,6 @@ def row_and_entity_count(spark, sf_dir):
     return a.join(b, "k").drop("k")
 
 
-@query()
-def file_statistics(spark, sf_dir):
-    from ..sources import footers
-
-    return footers.column_rollup(spark, f"{sf_dir}/lineitem.parquet")
-
-
 @query("SELECT count(*) AS n, min(event_id) AS lo, max(event_id) AS hi FROM (SELECT event_id FROM events UNION ALL SELECT event_id FROM events)")
 def multi_file_union(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"
@@ -250,7 +243,7 @@ def lower_index_percentiles(spark, sf_dir):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY l_returnflag")
 def interpolated_percentile(spark, sf_dir):
-    return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", 0.9), 4).alias("p90"))
+    return aggregates.quantiles(load(spark, sf_dir, "lineitem"), "l_extendedprice", {"p90": 0.9}, ["l_returnflag"], interpolate=True).withColumn("p90", F.round("p90", 4))
 
 
 @query(
@@ -301,7 +294,7 @@ SELECT event_id, u, t, CAST(event_count AS BIGINT) AS event_count, event_count >
 )
 def sliding_rate(spark, sf_dir):
     f = events(spark, sf_dir).select("event_id", (F.col("user_id") % 40).alias("u"), (F.floor(F.col("ts_us") / DAY) * DAY).alias("t"))
-    return windows.sliding_rate(f, "t", 7 * DAY, "event_id", ["u"])
+    return windows.sliding_rate_bucketed(f, "t", 7 * DAY, "event_id", ["u"])
 
 
 @query(
@@ -325,7 +318,6 @@ def completeness_gaps(spark, sf_dir):
 # --- chains --------------------------------------------------------------------------------------
 
 
-
 def _order_chains(spark, sf_dir) -> DataFrame:
     o = load(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("chain"), "o_orderkey", (micros("o_orderdate") * 1000).alias("ts_ns"), F.concat_ws("|", "o_orderstatus", "o_orderpriority").cast("binary").alias("data"))
     return chain.create(o, "chain", ["ts_ns", "o_orderkey"], "ts_ns", "data")
@@ -358,11 +350,6 @@ def hash_functions(spark, sf_dir):
     return load(spark, sf_dir, "supplier").select(hashing.sha256(F.col("s_name")).alias("h"), hashing.to_hex(F.col("s_name").cast("binary")).alias("x"), "s_suppkey")
 
 
-@query()
-def keyed_pseudonyms(spark, sf_dir):
-    return load(spark, sf_dir, "customer").select("c_custkey", hashing.pseudonymise(b"a key of the test", F.col("c_name")).alias("pseudonym"))
-
-
 @query("SELECT c_custkey, true AS may_contain FROM customer")
 def bloom_membership(spark, sf_dir):
     c = load(spark, sf_dir, "customer").withColumn("name", F.col("c_name"))
@@ -480,11 +467,6 @@ def vector_distances(spark, sf_dir):
     return both.select("vec_id", F.round(vectors.dot_product(F.col("embedding"), F.col("q")), 4).alias("dot"), F.round(vectors.l2_distance_sq(F.col("embedding"), F.col("q")), 4).alias("l2"), F.round(vectors.sum_of_squares(F.col("embedding")), 4).alias("squares"))
 
 
-@query("SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4)) AS unit FROM embeddings")
-def vector_normalize(spark, sf_dir):
-    return load(spark, sf_dir, "embeddings").select("vec_id", F.transform(vectors.l2_normalize(F.col("embedding")), lambda x: F.round(x, 4)).alias("unit"))
-
-
 @query(
     """WITH r AS (SELECT max(greatest(abs(list_min(embedding)::DOUBLE), abs(list_max(embedding)::DOUBLE))) / 127 AS s FROM embeddings)
 SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: CAST(greatest(-127, least(127, round_even(x / s, 0))) AS INT)) AS q, list_transform(embedding::DOUBLE[], lambda x: round(CAST(greatest(-127, least(127, round_even(x / s, 0))) AS INT) * s, 4)) AS back FROM embeddings, r"""
@@ -529,14 +511,6 @@ def tensor_reshape(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").select("vec_id", vectors.reshape(F.col("embedding"), 8).alias("matrix"))
 
 
-@query()
-def half_precision(spark, sf_dir):
-    e = load(spark, sf_dir, "embeddings")
-    return e.select("vec_id", vectors.from_half(vectors.to_half(F.col("embedding"))).alias("half"))
-
-
-
-
 @query(
     """SELECT l_orderkey, l_linenumber, (SELECT CAST(sum(((l_orderkey >> i) & 1) << (2 * i)) + sum(((l_partkey >> i) & 1) << (2 * i + 1)) AS BIGINT) FROM range(30) g(i)) AS z, l_orderkey AS x, l_partkey AS y FROM lineitem"""
 )
@@ -557,11 +531,6 @@ def order_keys(spark, sf_dir):
     return load(spark, sf_dir, "supplier").select("s_suppkey", keys.normalize_int32(F.col("s_nationkey")).alias("k32"), keys.normalize_string(F.col("s_name")).alias("ks"))
 
 
-@query()
-def float_order_keys(spark, sf_dir):
-    return load(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", keys.normalize_double(F.col("s_acctbal")).alias("k"), keys.morton_nd(keys.normalize_double(F.col("s_acctbal")), keys.normalize_int32(F.col("s_nationkey")), F.col("s_suppkey")).alias("z"))
-
-
 # --- reports -------------------------------------------------------------------------------------
 
 
@@ -658,12 +627,6 @@ def hybrid_read(spark, sf_dir):
     return out.withColumn("payload", F.col("payload").cast("string"))
 
 
-@query("SELECT vec_id, embedding::DOUBLE[] AS as_double, list_transform(embedding, lambda x: CAST(trunc(x * 100) AS INT)) AS as_int FROM embeddings WHERE vec_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 20)")
-def vector_by_index(spark, sf_dir):
-    first = load(spark, sf_dir, "embeddings").orderBy("vec_id").limit(20)
-    return first.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("as_double"), F.transform("embedding", lambda x: (x * 100).cast("int")).alias("as_int"))
-
-
 @query("SELECT n_nationkey, 'int8' AS scheme, CAST(n_nationkey AS VARCHAR) AS dimension, '[' || n_nationkey || ',' || n_regionkey || ']' AS as_json, [n_nationkey, n_regionkey] AS parsed FROM nation")
 def parameter_codecs(spark, sf_dir):
     n = load(spark, sf_dir, "nation")

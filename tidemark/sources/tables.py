@@ -50,6 +50,30 @@ def store_of(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def read_any_encoding(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet rows whatever the encoding of their columns: files are read in batches by the executors where Spark's own reader does not know one."""
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    import pyarrow.parquet as pq
+
+    store, folder = store_of(path)
+    from pyarrow import fs
+
+    names = sorted(f.path for f in store.get_file_info(fs.FileSelector(folder)) if f.is_file and not f.base_name.startswith((".", "_")))
+    with store.open_input_file(names[0]) as handle:
+        schema = pq.ParquetFile(handle).schema_arrow
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+
+    def run(batches):
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                s, name = store_of(file)
+                with s.open_input_file(name) as handle:
+                    yield from pq.ParquetFile(handle).iter_batches()
+
+    return files.mapInArrow(run, from_arrow_schema(schema, prefer_timestamp_ntz=True))
+
+
 def features(spark: SparkSession, paths: list[str], feature_group: str | None = None, damaged: str = "fail") -> DataFrame:
     """Feature rows of all files. A group is checked against its column.
 
