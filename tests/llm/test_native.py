@@ -276,9 +276,104 @@ def test_op7_copies_in_another_case(spark, tables):
     assert items_found(spark, tables, other, [x.replace("120", "95") for x in (other.lower(), other.upper(), other.title(), "so " + other)]) == [0, 1, 2, 3]
 
 
-@pytest.mark.parametrize("size", [1, 5])
-def test_bit_map_only_saves_work(spark, size):
-    bits = dc.long_array([(1 << 63) - 1] * (1 << size))
-    text = spark.createDataFrame([("one two three four five six seven eight nine ten",)], "t string")
-    with_map, without = (text.select(F.size(dc.matches_of(F.col("t"), 4, m))).first()[0] for m in (bits, None))
-    assert without == 7 and with_map <= 7
+def test_pair_and_window_maps_only_save_work(spark):
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["one", "two", "three", "so Paris", "so Rome", "7", "km", "four"]) for _ in range(rnd.randrange(0, 40))) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    full, empty = (dc.long_array([x] * 128) for x in (-1, 0))
+    sizes = [4, 5, 8]
+    got = df.select(*[F.array_sort(F.transform(dc.matches_of(F.col("t"), sizes, m), lambda w: F.struct(w["size"], w["at"], w["hash"]))).alias(n) for n, m in (("all", None), ("mapped", (full, full)), ("none", (empty, full)))]).collect()
+    assert all(r["all"] == r["mapped"] and not r["none"] for r in got) and sum(len(r["all"]) for r in got) > 1000
+
+
+def brute_templates(text, item):
+    """Whether an item contaminates a text, by plain loops over all windows."""
+
+    def canonical(x):
+        words = [(m[0], bool(re.search(r"[a-zà-ÿ0-9,;]\s+$", x[: m.start()]) and re.match("[A-Z][a-z]", m[0]))) for m in re.finditer(r"[^\W\d_]+|\d+(?:[.,:]\d+)*", x)]
+        kinds = []
+        for i, (w, name) in enumerate(words):
+            number = w[0].isdigit()
+            kinds.append("N" if number else "U" if w.lower() in dc.UNITS and i and words[i - 1][0][0].isdigit() else "M" if name else None)
+        return [w.lower() for w, _ in words], kinds
+
+    def sides(x):
+        words, kinds = canonical(x)
+        places = [i for i, k in enumerate(kinds) if not (k == "M" and i and kinds[i - 1] == "M")]
+        ends = [*places[1:], len(words)]
+        for kind in ("template", "names", "plain"):
+            if kind == "template":
+                seq = [(i, e - 1, f"\x01{kinds[i]}" if kinds[i] else words[i], " ".join(words[i:e]), kinds[i]) for i, e in zip(places, ends, strict=True)]
+            else:
+                seq = [(i, i, f"\x01{k}" if k and (k != "M") and kind == "names" else w, w, k) for i, (w, k) in enumerate(zip(words, kinds, strict=True))]
+            for at in range(len(seq)):
+                yield kind, at, seq
+
+    def windows(x, n):
+        out = defaultdict(list)
+        for kind, at, seq in sides(x):
+            part = seq[at : at + n]
+            if len(part) < n:
+                continue
+            slots = sum(bool(k) for *_, k in part) if kind == "template" else sum(bool(k) and k != "M" for *_, k in part)
+            if kind != "plain" and 2 * slots > n:
+                continue
+            out[tuple(c for _, _, c, _, _ in part)].append((part[0][0], part[-1][1], [v for *_, v, _ in part], [bool(k) for *_, k in part]))
+        return out
+
+    m = re.match(r"\s*[A-Z][a-z]", item)
+    marked = ", " + item.lstrip() if m else item
+    words, kinds = canonical(marked)
+    n_template = len([i for i, k in enumerate(kinds) if not (k == "M" and i and kinds[i - 1] == "M")])
+    n_words = len(words)
+    if n_words < dc.SHORTEST:
+        return canonical(text)[0] == canonical(item)[0]
+    n = min(n_template if n_template >= dc.SHORTEST else n_words, dc.WINDOW)
+    theirs = windows(item, n)
+    for key, found in windows(marked, n).items():
+        theirs[key] += [w for w in found if w[0] == 0]
+    lines = defaultdict(lambda: (set(), set()))
+    for key, ours in windows(text, n).items():
+        for a, b, values, slots in theirs.get(key, ()):
+            for at, _, mine, own in ours:
+                lines[at - a][0].update(range(a, b + 1))
+                lines[at - a][1].update((v, w) for v, w, s, t in zip(values, mine, slots, own, strict=True) if s or t)
+    sound = lambda pairs: len({v for v, _ in pairs}) == len(pairs)
+    lines = {k: v for k, v in lines.items() if sound(v[1])}
+    for near in {k // dc.DRIFT for k in lines} | {k // dc.DRIFT - 1 for k in lines}:
+        some = sorted(((len(p), k, sorted(p), q) for k, (p, q) in lines.items() if k // dc.DRIFT in (near, near + 1)), key=lambda x: x[:3], reverse=True)
+        covered, pairs = set(), set()
+        for _, _, p, q in some:
+            if sound(pairs | q):
+                covered.update(p)
+                pairs |= q
+        if len(covered) >= dc.COVERED or len(covered) >= dc.SHARE * n_words:
+            return True
+    return False
+
+
+def test_op7_against_plain_templates(spark, tables):
+    rnd = random.Random(11)
+    vocabulary = "the of and train apples river goes takes holds long small old red counts under over market street boy girl km kg hours".split()
+    names = ["Anna", "Paris", "Mary Ann", "Lyon", "Tom"]
+    some = lambda: rnd.choice(names) if rnd.random() < 0.15 else str(rnd.randrange(20)) if rnd.random() < 0.15 else rnd.choice(vocabulary)
+    items = [" ".join(some() for _ in range(rnd.choice([2, 3, 5, 6, 9, 14, 22]))) for _ in range(16)]
+    texts = []
+    for _ in range(120):
+        words = rnd.choice(items).split()
+        for _ in range(rnd.randrange(0, 4)):
+            i = rnd.randrange(len(words))
+            change = rnd.random()
+            words[i : i + 1] = [] if change < 0.2 else [words[i], some()] if change < 0.4 else [some()] if change < 0.7 else [words[i].upper()]
+        texts.append(" ".join([some() for _ in range(rnd.randrange(6))] + words + [some() for _ in range(rnd.randrange(6))]) if rnd.random() < 0.8 else " ".join(words))
+    df = dc.op7_template_decontamination(spark, tables(documents=[doc(i, x) for i, x in enumerate(texts)], benchmark=list(enumerate(items))))
+    got = {r["doc_id"]: r["items"] for r in df.collect()}
+    want = {i: [k for k, item in enumerate(items) if brute_templates(x, item)] for i, x in enumerate(texts)}
+    assert got == want and sum(map(bool, want.values())) > 30
+
+
+def test_op7_short_items_items_without_id_and_other_numerals(spark, tables):
+    items = [(1, "two words"), (None, "an item without an id still keeps its copies out of the documents"), (3, "add ٣ and ٤ apples to the basket of the old man")]
+    texts = ["Two words", "two words more", "see an item without an id still keeps its copies out of the documents", "add ٥ and ٦ apples to the basket of the old man"]
+    df = dc.op7_template_decontamination(spark, tables(documents=[doc(i, x) for i, x in enumerate(texts)], benchmark=items))
+    assert [(r["contaminated"], r["items"]) for r in df.orderBy("doc_id").collect()] == [(True, [1]), (False, []), (True, []), (True, [3])]
