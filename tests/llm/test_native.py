@@ -316,7 +316,7 @@ def brute_templates(text, item):
             if len(part) < n:
                 continue
             slots = sum(bool(k) for *_, k in part) if kind == "template" else sum(bool(k) and k != "M" for *_, k in part)
-            if kind != "plain" and 2 * slots > n:
+            if (kind == "plain") != (2 * slots > n):
                 continue
             out[tuple(c for _, _, c, _, _ in part)].append((part[0][0], part[-1][1], [v for *_, v, _ in part], [bool(k) for *_, k in part]))
         return out
@@ -332,6 +332,9 @@ def brute_templates(text, item):
     theirs = windows(item, n)
     for key, found in windows(marked, n).items():
         theirs[key] += [w for w in found if w[0] == 0]
+    if words[0] in dc.UNITS:
+        for key, found in windows("0 " + item, n).items():
+            theirs[key] += [(a - 1, b - 1, v, s) for a, b, v, s in found if a == 1]
     lines = defaultdict(lambda: (set(), set()))
     for key, ours in windows(text, n).items():
         for a, b, values, slots in theirs.get(key, ()):

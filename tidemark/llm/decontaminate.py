@@ -1,7 +1,7 @@
 """Benchmark decontamination by canonical templates; DataFrame expressions only.
 
 Words are runs of letters, and numbers. A number becomes a number placeholder, a capitalised word after a
-lower-case letter, digit, comma or semicolon a name placeholder (the first word of an item counts both ways), a unit after a number a unit placeholder; other
+lower-case letter, digit, comma or semicolon a name placeholder, a unit after a number a unit placeholder (the first word of an item counts both ways); other
 words are lower-cased. Windows of ``WINDOW`` canonical words (shorter items: their own length) are hashed, and
 documents' windows are equi-joined with those of the benchmark. Two bit maps of bounded size thin them out before any row
 is made of them, in one pass over the documents for items of all lengths: a window is hashed only where those of its pairs of
@@ -273,11 +273,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = same.select("doc_id", "text_hash", "item", "item_id", F.col("item_words").alias("covered"), "item_words").distinct()
     if not sizes:
         return found
-    # every item in the windows of its own size only; with its first word as a name, in those that begin with it
-    forms = F.array(F.struct(F.col("text").alias("t"), F.lit(0).alias("first")), F.struct(marked_start(F.col("text")).alias("t"), F.lit(1).alias("first")))
-    formed = items.select("item", "item_id", "item_words", "n", F.explode(forms).alias("f")).select("item", "item_id", "item_words", "n", "f.t", "f.first")
-    theirs = formed.select("item", "item_id", "item_words", "n", "first", F.explode_outer(matches_of(F.col("t"), sizes)).alias("m")).filter((F.col("m.size") == F.col("n")) & ((F.col("first") == 0) | (F.col("m.at") == 1)))
-    theirs = theirs.select("item", "item_id", "item_words", "m.size", F.col("m.at").alias("item_at"), F.col("m.end").alias("item_end"), F.col("m.hash").alias("hash"), F.col("m.words").alias("item_text"), F.col("m.slots").alias("item_slots")).distinct()
+    # every item in the windows of its own size only; with its first word as a name, or as a unit after a number of the
+    # text around it, in those that begin with that word
+    form = lambda t, first, before: F.struct(t.alias("t"), F.lit(first).alias("first"), F.lit(before).alias("before"))
+    unit_first = F.lower(F.regexp_extract("text", r"[\p{L}\p{M}\p{N}]+", 0)).isin(UNITS)
+    forms = F.array(form(F.col("text"), 0, 0), form(marked_start(F.col("text")), 1, 0), F.when(unit_first, form(F.concat(F.lit("0 "), "text"), 2, 1)))
+    formed = items.select("item", "item_id", "item_words", "n", F.explode(forms).alias("f")).filter(F.col("f").isNotNull()).select("item", "item_id", "item_words", "n", "f.t", "f.first", "f.before")
+    theirs = formed.select("item", "item_id", "item_words", "n", "first", "before", F.explode_outer(matches_of(F.col("t"), sizes)).alias("m")).filter((F.col("m.size") == F.col("n")) & ((F.col("first") == 0) | (F.col("m.at") == F.col("first"))))
+    theirs = theirs.select("item", "item_id", "item_words", "m.size", (F.col("m.at") - F.col("before")).alias("item_at"), (F.col("m.end") - F.col("before")).alias("item_end"), F.col("m.hash").alias("hash"), F.col("m.words").alias("item_text"), F.col("m.slots").alias("item_slots")).distinct()
     theirs = written(docs.sparkSession, theirs, "benchmark-windows")
     pairs = written(docs.sparkSession, formed.select(F.explode_outer(pairs_in(F.col("t"))).alias("hash")).filter(F.col("hash").isNotNull()).distinct(), "benchmark-pairs")
     maps = (bit_map(pairs), bit_map(theirs))
