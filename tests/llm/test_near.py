@@ -72,6 +72,31 @@ def test_against_all_pairs(spark, tables):
     assert got == sorted(map(str, brute(rows)))
 
 
+def test_long_chains_beside_dense_groups(spark, tables, monkeypatch):
+    """With small blocks a chain's nodes have few surviving pairs for its many blocks: they are verified pair by pair."""
+    monkeypatch.setattr(nj, "BLOCK", 4)
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    chain = rnd.sample(words, 400)
+    rows = [doc(100 + i, " ".join(chain[i : i + 70])) for i in range(160)]
+    base = chain[160:230]  # a dense group that hangs on the chain
+    for i in range(40):
+        w = list(base)
+        w[rnd.randrange(len(w))] = rnd.choice(words)
+        rows.append(doc(1000 + i, " ".join(w)))
+    other = [rnd.choice(words) for _ in range(90)]
+    for i in range(30):  # and one that does not, with copies
+        w = list(other)
+        w[rnd.randrange(len(w))] = rnd.choice(words)
+        rows += [doc(2000 + i, " ".join(w))] * (1 + i % 3)
+    rnd.shuffle(rows)
+    seen = []
+    plain = nj.verified_pairs
+    monkeypatch.setattr(nj, "verified_pairs", lambda *args: seen.append(1) or plain(*args))
+    got = sorted(map(str, ((r["doc_id"], r["class_id"], r["n_links"]) for r in nj.op6_near_jaccard(spark, tables(documents=rows)).collect())))
+    assert got == sorted(map(str, brute(rows))) and seen
+
+
 def test_empty_table(spark, tables):
     d = tables()
     assert nj.op6_near_jaccard(spark, d).count() == 0

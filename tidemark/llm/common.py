@@ -42,7 +42,17 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends there, and lost executors lose nothing."""
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, once nothing reads them any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

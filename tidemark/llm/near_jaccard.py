@@ -6,20 +6,27 @@ equal shingle sets are one *node* with a number of copies; only nodes are compar
 1. A pass over the texts gives each its node (a 128-bit hash of its shingle set), a MinHash signature of
    ``HASHES`` values, kept as 8 bits each, and the hashes of ``BANDS`` bands of ``BAND_ROWS`` values.
 2. Nodes that share a band's hash are candidates. Buckets of more than ``BLOCK`` nodes are cut into blocks,
-   and pairs of blocks are dealt out as tasks, so no task holds a bucket. A pair counts in its first common
+   and pairs of blocks are dealt out, so no task holds a bucket. A pair counts in its first common
    band only. Bayesian pruning compares its signatures ``STEP`` values at a time and drops it as soon as the
    posterior probability (uniform prior) that the similarity reaches the threshold is below ``TOLERANCE``.
 3. Pairs that remain join their nodes into candidate groups (connected components).
 4. A second pass over the texts takes the shingle sets of one text a node in a group, picked by a bit map of
-   bounded size; groups are again dealt out in pairs of blocks, and *all* pairs inside a group are verified
-   exactly, by products of incidence matrices. Links are counted there, no pair is written out.
+   bounded size; groups are again dealt out in pairs of blocks, and pairs inside a group are verified
+   exactly, by products of incidence matrices. Links are counted there, no pair is written out. A group of n
+   nodes costs each of them n / BLOCK copies, so in groups of many blocks the *lone* nodes, those with fewer
+   surviving pairs than half the blocks (long chains of versions), are taken out: their pairs, so few, are pruned
+   once more, written and verified singly. Work thus follows the surviving pairs in sparse groups, and in
+   dense ones the blocks.
 5. Exact links give the final classes (connected components).
 
 A pair at the threshold misses every band with probability (1 - 0.8^5)^32 = 3e-6, and is pruned wrongly with
 probability below the tolerance; nothing else is approximate, and there is no cap on partners or candidates.
 
 Null and empty texts, and texts of white space, have no shingles: each is a class of its own with no links.
-Null ids are kept and never name a class unless all ids of it are null. Repeated rows are copies.
+Null ids are kept and never name a class unless all ids of it are null. Repeated rows are copies; of equal smallest ids
+one names the class. An empty table gives an empty one. Only id and text are read, so other columns may have any name;
+``one_of_each_class`` passes them on, if they do not end in two underscores. Intermediate tables are deleted, but for
+the signatures and the classes, which the result reads.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TwoGenerations, claim, map_batches, small_batches, table, written
+from .common import TwoGenerations, claim, forget, map_batches, small_batches, table, written
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -210,9 +217,11 @@ def signatures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
     return map_batches(docs, keep, work, schema, [text])
 
 
-def candidate_edges(nodes: DataFrame) -> DataFrame:
-    """(u, v) star edges over the pairs of ``nodes`` (node, n_shingles, signature, bands) that survive the pruning."""
-    spark = nodes.sparkSession
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """Rows of ``nodes`` (node, n_shingles, signature, bands and further columns), one for each bucket and pair of blocks.
+
+    Buckets are counted by a grouped count and the counts, written, are joined back: Spark splits that join where a bucket is hot.
+    """
 
     def spread(batches):
         for batch in batches:
@@ -222,58 +231,88 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
                 bucket = (np.arange(BANDS, dtype=np.int64) << 32) | keys.astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(rows), BANDS)))], ["bucket", "node"])
 
-    from pyspark.sql import Window
-
     spread_rows = nodes.select("node", "bands").mapInArrow(spread, "bucket long, node binary")
-    shared = spread_rows.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).filter("size > 1")
-    rows = _in_blocks(shared.join(nodes, "node"), "bucket", F.ceil(F.col("size") / BLOCK).cast("int"), "node")
+    sizes = written(nodes.sparkSession, spread_rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
+    shared = spread_rows.join(sizes, "bucket")
+    return _in_blocks(shared.join(nodes, "node"), "bucket", F.ceil(F.col("size") / BLOCK).cast("int"), "node")
+
+
+BUCKET_ROW = ["bucket", "lo", "hi", "left", "node", "n_shingles", "signature", "bands"]
+
+
+def _survivors(t: pa.Table, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (rows of t) of whole pairs of blocks that survive the pruning; each pair in its first common band only."""
+    n = t.num_rows
+    sizes = t.column("n_shingles").to_numpy()
+    band = t.column("bucket").to_numpy() >> 32
+    bands = np.frombuffer(b"".join(t.column("bands").to_pylist()), np.uint32).reshape(n, BANDS)
+    sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(n, HASHES)
+    left = t.column("left").to_numpy()
+    found_a, found_b = [], []
+    small_a, small_b = [], []
+
+    def test(a, b):
+        ok = 10 * np.minimum(sizes[a], sizes[b]) >= 8 * np.maximum(sizes[a], sizes[b])
+        a, b = a[ok], b[ok]
+        ok = (bands[a] == bands[b]).argmax(1) == band[a]  # in an earlier band's bucket it is tested there
+        a, b = a[ok], b[ok]
+        matches = np.zeros(len(a), np.int64)
+        for k, need in enumerate(least):
+            matches += np.count_nonzero(sign[a, k * STEP : (k + 1) * STEP] == sign[b, k * STEP : (k + 1) * STEP], axis=1)
+            ok = matches >= need
+            a, b, matches = a[ok], b[ok], matches[ok]
+        found_a.append(a)
+        found_b.append(b)
+
+    lo, hi = t.column("lo").to_numpy(), t.column("hi").to_numpy()
+    for start, end in _cuts(t, ["bucket", "lo", "hi"]):
+        if end - start == 2 and lo[start] == hi[start]:
+            small_a.append(start)
+            small_b.append(start + 1)
+            continue
+        at = np.arange(start, end)
+        x = at if lo[start] == hi[start] else at[left[start:end]]
+        y = x if lo[start] == hi[start] else at[~left[start:end]]
+        for a, b in _pairs(x, y):
+            test(a, b)
+    if small_a:
+        test(np.array(small_a), np.array(small_b))
+    none = [np.zeros(0, int)]
+    return np.concatenate(found_a or none), np.concatenate(found_b or none)
+
+
+def candidate_edges(nodes: DataFrame) -> DataFrame:
+    """(u, v, degree): star edges (degree null) over the pairs of ``nodes`` that survive the pruning, and (v null) parts of each node's number of such pairs."""
     least = least_matches()
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["bucket", "lo", "hi"]):
-            n = t.num_rows
-            sizes = t.column("n_shingles").to_numpy()
-            band = t.column("bucket").to_numpy() >> 32
-            bands = np.frombuffer(b"".join(t.column("bands").to_pylist()), np.uint32).reshape(n, BANDS)
-            sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(n, HASHES)
-            left = t.column("left").to_numpy()
-            found_a, found_b = [], []
-            small_a, small_b = [], []
-
-            def test(a, b):
-                ok = 10 * np.minimum(sizes[a], sizes[b]) >= 8 * np.maximum(sizes[a], sizes[b])
-                a, b = a[ok], b[ok]
-                ok = (bands[a] == bands[b]).argmax(1) == band[a]  # in an earlier band's bucket it is tested there
-                a, b = a[ok], b[ok]
-                matches = np.zeros(len(a), np.int64)
-                for k, need in enumerate(least):
-                    matches += np.count_nonzero(sign[a, k * STEP : (k + 1) * STEP] == sign[b, k * STEP : (k + 1) * STEP], axis=1)
-                    ok = matches >= need
-                    a, b, matches = a[ok], b[ok], matches[ok]
-                found_a.append(a)
-                found_b.append(b)
+            a, b = _survivors(t, least)
+            root = roots_of(t.num_rows, a, b)
+            edge = np.flatnonzero(root != np.arange(t.num_rows))
+            degree = np.bincount(a, minlength=t.num_rows) + np.bincount(b, minlength=t.num_rows)
+            some = np.flatnonzero(degree)
+            node = t.column("node").combine_chunks()
+            u = node.take(pa.array(np.concatenate([edge, some])))
+            v = pa.concat_arrays([node.take(pa.array(root[edge])), pa.nulls(len(some), pa.binary())])
+            yield pa.RecordBatch.from_arrays([u, v, pa.array([None] * len(edge) + degree[some].tolist(), pa.int64())], ["u", "v", "degree"])
 
-            lo, hi = t.column("lo").to_numpy(), t.column("hi").to_numpy()
-            for start, end in _cuts(t, ["bucket", "lo", "hi"]):
-                if end - start == 2 and lo[start] == hi[start]:
-                    small_a.append(start)
-                    small_b.append(start + 1)
-                    continue
-                at = np.arange(start, end)
-                x = at if lo[start] == hi[start] else at[left[start:end]]
-                y = x if lo[start] == hi[start] else at[~left[start:end]]
-                for a, b in _pairs(x, y):
-                    test(a, b)
-            if small_a:
-                test(np.array(small_a), np.array(small_b))
-            a, b = np.concatenate(found_a or [np.zeros(0, int)]), np.concatenate(found_b or [np.zeros(0, int)])
-            root = roots_of(n, a, b)
-            edge = np.flatnonzero(root != np.arange(n))
+    return _buckets(nodes).select(*BUCKET_ROW).mapInArrow(prune, "u binary, v binary, degree long")
+
+
+def candidate_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v): the pairs that survive the pruning and of which at least one node is marked ``lone``."""
+    least = least_matches()
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["bucket", "lo", "hi"]):
+            a, b = _survivors(t, least)
+            lone = t.column("lone").to_numpy()
+            ok = lone[a] | lone[b]
             node = t.column("node").combine_chunks()
-            yield pa.RecordBatch.from_arrays([node.take(pa.array(edge)), node.take(pa.array(root[edge]))], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(a[ok])), node.take(pa.array(b[ok]))], ["u", "v"])
 
-    columns = ["bucket", "lo", "hi", "left", "node", "n_shingles", "signature", "bands"]
-    return rows.select(*columns).mapInArrow(prune, "u binary, v binary").distinct()
+    return _buckets(nodes).select(*BUCKET_ROW, "lone").mapInArrow(prune, "u binary, v binary")
 
 
 def wanted_map(rows: DataFrame, key: str) -> np.ndarray:
@@ -288,11 +327,8 @@ def wanted_map(rows: DataFrame, key: str) -> np.ndarray:
     return out
 
 
-def verified(docs: DataFrame, members: DataFrame, text: str = "text") -> DataFrame:
-    """(node, links, root) parts: links of a node inside a pair of blocks, and the smallest row it is joined to there.
-
-    ``members``: node, group, blocks (of the group), copies, doc_id (of the text that stands for the node).
-    """
+def shingle_sets(docs: DataFrame, members: DataFrame, text: str = "text") -> DataFrame:
+    """(node, shingles) of ``members`` (node, doc_id of the text that stands for it): the second pass over the texts."""
     spark = docs.sparkSession
     stands = F.xxhash64("node", "doc_id")
     bit_map = spark.sparkContext.broadcast(wanted_map(members.select(stands.alias("h")), "h"))  # 32 MB at most
@@ -313,7 +349,14 @@ def verified(docs: DataFrame, members: DataFrame, text: str = "text") -> DataFra
             at = np.flatnonzero((bits[place >> 6] >> (place & 63)) & 1)
             yield pa.RecordBatch.from_arrays([pa.array([hashes[i] for i in at], pa.binary()), pa.array([ids[i] for i in at], pa.int64()), pa.array([sets[i].tobytes() for i in at], pa.binary())], ["node", "doc_id", "shingles"])
 
-    sets = docs.select(F.col("doc_id").cast("long"), text).mapInArrow(read, "node binary, doc_id long, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(read, "node binary, doc_id long, shingles binary")
+
+
+def verified(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, links, root) parts: links of a node inside a pair of blocks, and the smallest row it is joined to there.
+
+    ``members``: node, group, blocks (of the group), copies, doc_id (of the text that stands for the node).
+    """
     same = [members["node"] == sets["node"], members["doc_id"].eqNullSafe(sets["doc_id"])]
     rows = members.join(sets, same).select(members["node"], "group", "blocks", "copies", "shingles")
     dealt = _in_blocks(rows, "group", F.col("blocks"), "node")
@@ -344,6 +387,29 @@ def verified(docs: DataFrame, members: DataFrame, text: str = "text") -> DataFra
     return dealt.select("group", "lo", "hi", "left", "node", "copies", "shingles").mapInArrow(verify, "node binary, links long, root binary")
 
 
+def verified_pairs(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The same parts from single pairs (u, v) of nodes: both shingle sets of each are compared."""
+    same = [members["node"] == sets["node"], members["doc_id"].eqNullSafe(sets["doc_id"])]
+    rows = members.join(sets, same).select(members["node"], "copies", "shingles").dropDuplicates(["node"])
+    side = lambda x: rows.select(*[F.col(c).alias(f"{c}_{x}") for c in rows.columns])
+    both = pairs.join(side("u"), F.col("u") == F.col("node_u")).join(side("v"), F.col("v") == F.col("node_v"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(k).to_pylist() for k in (2, 5))
+            keep = []
+            for i in range(batch.num_rows):
+                x, y = np.frombuffer(a[i], np.uint64), np.frombuffer(b[i], np.uint64)
+                inter = len(np.intersect1d(x, y, assume_unique=True))
+                if 10 * inter >= 8 * (len(x) + len(y) - inter):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            u, v, copies_u, copies_v = (batch.column(k).take(at) for k in (0, 3, 1, 4))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([u, v]), pa.concat_arrays([copies_v, copies_u]).cast(pa.int64()), pa.concat_arrays([v, u])], ["node", "links", "root"])
+
+    return both.select("node_u", "copies_u", "shingles_u", "node_v", "copies_v", "shingles_v").mapInArrow(verify, "node binary, links long, root binary")
+
+
 def intersections(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of all pairwise intersections, and of the sets."""
     n = len(sets)
@@ -386,19 +452,35 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     signed = written(spark, signatures(docs.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "text_hash"]), "signatures")
     each = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), F.min("bands").alias("bands"))
     nodes = written(spark, each, "nodes")
-    group = written(spark, components(candidate_edges(nodes.select("node", "n_shingles", "signature", "bands"))), "groups")
-    held = group.join(nodes, "node")
+    told = nodes.select("node", "n_shingles", "signature", "bands")
+    pruned = written(spark, candidate_edges(told), "pruned")
+    group = written(spark, components(pruned.filter("v is not null").select("u", "v")), "groups")
+    degrees = pruned.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("degree").alias("degree"))
+    held = group.join(nodes.select("node", "copy_of", "copies", "n_shingles"), "node").join(degrees, "node")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    members = held.join(held.groupBy("root").agg(blocks.alias("blocks")), "root").select("node", F.xxhash64("root").alias("group"), "blocks", "copies", F.col("copy_of").alias("doc_id"))
+    members = held.join(held.groupBy("root").agg(blocks.alias("blocks")), "root").select("node", "root", "blocks", "copies", F.col("copy_of").alias("doc_id"), "n_shingles", (2 * F.col("degree") < F.col("blocks")).alias("lone"))
     members = written(spark, members, "members")
-    parts = written(spark, verified(docs, members), "verified")
+    # of the others: their own blocks
+    dense = members.filter("not lone")
+    blocks = dense.groupBy("root").agg(blocks.alias("blocks"))
+    dense = dense.drop("blocks").join(blocks, "root").select("node", F.xxhash64("root").alias("group"), "blocks", "copies", "doc_id")
+    sets = shingle_sets(docs, members)
+    parts = verified(dense, sets)
+    if not members.filter("lone").isEmpty():
+        sets = written(spark, sets, "shingles")
+        mixed = members.groupBy("root").agg(F.max("lone").alias("mixed")).filter("mixed").select("root")
+        marked = told.join(members.join(mixed, "root").select("node", "lone"), "node")
+        parts = verified(dense, sets).unionByName(verified_pairs(written(spark, candidate_pairs(marked), "pairs"), members.select("node", "copies", "doc_id"), sets))
+    parts = written(spark, parts, "verified")
     # the links of a group may be dealt over several pairs of blocks: their parts are joined here
     classes = written(spark, components(parts.select(F.col("node").alias("u"), F.col("root").alias("v"))), "links")
     links = parts.groupBy("node").agg(F.sum("links").alias("links"))
     names = classes.join(nodes.select("node", "copy_of"), "node").groupBy("root").agg(F.min("copy_of").alias("class_id"))
     final = nodes.select("node", "copy_of", "copies").join(classes.join(names, "root").select("node", "root", "class_id"), "node", "left").join(links, "node", "left")
     final = final.select("node", "copy_of", F.coalesce("root", "node").alias("class_node"), F.coalesce("class_id", "copy_of").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    rows = signed.select("doc_id", "text_hash", "node").join(written(spark, final, "classes"), "node", "left")
+    named = written(spark, final, "classes")
+    forget(nodes, pruned, group, members, parts, classes)  # only the signatures and the classes are read on
+    rows = signed.select("doc_id", "text_hash", "node").join(named, "node", "left")
     alone = F.col("node").isNull()
     return rows.select(
         "doc_id",
@@ -411,19 +493,19 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def one_of_each_class(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The row with the smallest id of each class, with all its columns; rows without shingles all stay."""
-    from pyspark.sql import Window
+    """The row with the smallest id of each class, with all its columns; rows without shingles all stay.
 
+    Of rows with equal id and text one stays, by a grouped choice that combines before the shuffle.
+    """
     rows = near_classes(docs, text, doc_id)
     id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     alone = rows.filter("class_node is null").select(id_key.alias("id_key__"), F.col("text_hash").alias("text_hash__"), F.lit(True).alias("alone__")).distinct()
     first = rows.filter("class_node is not null").groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("k"))
     first = first.select(F.coalesce(F.col("k.doc_id").cast("string"), F.lit("null")).alias("id_key__"), F.col("k.text_hash").alias("text_hash__"), F.lit(False).alias("alone__"))
     stays = written(docs.sparkSession, alone.unionByName(first), "stays")
-    keyed = docs.select("*", F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null")).alias("id_key__"), F.xxhash64(text).alias("text_hash__"))
-    kept = keyed.join(stays, ["id_key__", "text_hash__"])
-    number = F.row_number().over(Window.partitionBy("id_key__", "text_hash__").orderBy(F.lit(0)))
-    return kept.withColumn("number__", number).filter("alone__ or number__ = 1").select(*docs.columns)
+    keyed = docs.select("*", F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null")).alias("id_key__"), F.xxhash64(text).alias("text_hash__"), F.monotonically_increasing_id().alias("place__"))
+    kept = keyed.join(stays, ["id_key__", "text_hash__"]).withColumn("place__", F.when(F.col("alone__"), F.col("place__")).otherwise(F.lit(-1)))
+    return kept.dropDuplicates(["id_key__", "text_hash__", "place__"]).select(*docs.columns)
 
 
 def op6_near_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
