@@ -7,12 +7,15 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import kn_language as kn
 from tidemark.llm import pii_feistel as pii
 from tidemark.llm import quality_ri as ri
@@ -219,27 +222,27 @@ def test_op1_query_edges(spark, tables):
 # --- language ------------------------------------------------------------------------------------
 
 
-def model():
-    from collections import Counter
+PARTS = {"aa": ["ka", "to", "mi", "ne"], "bb": ["str", "ung", "ach", "ei"], "cc": ["eau", "que", "oi", "ai"]}
+
 
+@pytest.fixture(scope="module")
+def model(spark):
     rnd = random.Random(1)
-    parts = {"aa": ["ka", "to", "mi", "ne"], "bb": ["str", "ung", "ach", "ei"], "cc": ["eau", "que", "oi", "ai"]}
-    make = lambda lang, n: " ".join("".join(rnd.choice(parts[lang]) for _ in range(rnd.randrange(1, 4))) for _ in range(n))
-    m = kn.KneserNey.fit({lang: Counter(kn.words_of(make(lang, 3000))) for lang in parts})
-    m.calibrate([(lang, make(lang, 50)) for lang in parts for _ in range(30)])
-    return m, make
+    make = lambda lang, n: " ".join("".join(rnd.choice(PARTS[lang]) for _ in range(rnd.randrange(1, 4))) for _ in range(n))
+    rows = [(1000 * k + i, make(lang, 50), lang) for k, lang in enumerate(PARTS) for i in range(150)]
+    return kn.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)), make
 
 
-def test_probabilities_of_next_characters_sum_to_at_most_one():
-    m, _ = model()
+def test_probabilities_of_next_characters_sum_to_at_most_one(model):
+    m, _ = model
     for prefix in ("", "k", "kat", "zz"):
         for j in range(len(m.languages)):
             # words that share a prefix are different events of one distribution
             assert sum(2 ** float(m.score([prefix + c])[0][0][j]) for c in "abcdefghijklmnopqrstuvwxyz") <= 1.0 + 1e-6
 
 
-def test_languages_are_told_apart_and_strangers_rejected():
-    m, make = model()
+def test_languages_are_told_apart_and_strangers_rejected(model):
+    m, make = model
     s = kn.Scorer(m)
     got = s.predict([make(lang, 20) for lang in m.languages for _ in range(20)] + [None, "", "123 !!", "xqzw vbnx qqqq zzzz wwww " * 4])
     assert [g[0] for g in got[:60]] == [lang for lang in m.languages for _ in range(20)]
@@ -247,14 +250,74 @@ def test_languages_are_told_apart_and_strangers_rejected():
     assert got[63][3] and not any(g[3] for g in got[:60]) and all(0 <= g[1] <= 1 for g in got)
 
 
-def test_cached_scores_are_plain_scores():
-    m, make = model()
+def test_cached_scores_are_plain_scores(model):
+    m, make = model
     texts = [make(lang, 30) + ", and MORE. " for lang in m.languages]
     for text, got in zip(texts, kn.Scorer(m).predict(texts), strict=True):
         logs, n = m.score(kn.words_of(text))
         assert abs(got[2] - (-logs.sum(0) / n.sum()).min()) < 1e-4
 
 
+def plain_kneser_ney(words, order=kn.ORDER):
+    """log2 probability of a padded word under interpolated Kneser-Ney, from plain dictionaries."""
+    grams = [Counter() for _ in range(order)]
+    for w, times in words.items():
+        x = "\2" + w + "\3"
+        for k in range(order):
+            for i in range(len(x) - k):
+                grams[k][x[i : i + k + 1]] += times
+    counts = []
+    for k in range(order):
+        if k == order - 1:
+            counts.append(dict(grams[k]))
+        else:
+            kinds = Counter(g[1:] for g in grams[k + 1])
+            counts.append({g: n if g[0] == "\2" else kinds[g] for g, n in grams[k].items()})
+    discount, total, followers = [], [], []
+    for k in range(order):
+        seen = {g: c for g, c in counts[k].items() if g[-1] != "\2"}
+        ones, twos = (sum(c == n for c in seen.values()) for n in (1, 2))
+        discount.append(ones / (ones + 2 * twos) if ones and twos else 0.5)
+        total.append(Counter())
+        followers.append(Counter())
+        for g, c in seen.items():
+            total[k][g[:-1]] += c
+            followers[k][g[:-1]] += 1
+
+    def p(g):
+        """Of the last character of g after the ones before it."""
+        k = len(g) - 1
+        lower = 1 / (len(counts[0]) + 1) if k == 0 else p(g[1:])
+        context = g[:-1]
+        if not total[k][context]:
+            return lower
+        return max(counts[k].get(g, 0) - discount[k], 0) / total[k][context] + discount[k] * followers[k][context] / total[k][context] * lower
+
+    def score(w):
+        x = "\2" + w + "\3"
+        return sum(np.log2(p(x[max(0, i - order + 1) : i + 1])) for i in range(1, len(x)))
+
+    return score
+
+
+def test_op9_counts_of_all_documents_make_the_plain_model(spark):
+    rnd = random.Random(4)
+    letters = {"xx": "abcde", "yy": "cdefgh"}
+    make = lambda lang: " ".join("".join(rnd.choice(letters[lang]) for _ in range(rnd.randint(1, 7))) for _ in range(30))
+    rows = [(i, make(lang), lang) for i in range(60) for lang in letters] + [(500, None, "xx"), (501, "", "yy"), (502, "word", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = kn.fit_languages(df, F.lit(True), calibration_docs=0)
+    assert model.languages == ["xx", "yy"]
+    tests = ["abc", "a", "hgfedc", "zz", "ceded", "abcdeabcde"]
+    logs, sizes = model.score(tests)
+    for j, lang in enumerate(model.languages):
+        score = plain_kneser_ney(Counter(w for _, t, x in rows if x == lang for w in kn.words_of(t or "")))
+        assert np.allclose(logs[:, j], [score(w) for w in tests], rtol=1e-4)
+    assert sizes.tolist() == [len(w) + 1 for w in tests]
+    small = kn.fit_languages(df, F.lit(True), most_grams=100)
+    assert sum(map(len, small.keys[2:])) <= 100 and len(small.keys[1]) == len(model.keys[1])
+
+
 def test_op9_held_out_accuracy(spark, sf_dir):
     truth = {r["doc_id"]: r["lang"] for r in table(spark, sf_dir, "documents").collect()}
     got = kn.op9_language_kn(spark, sf_dir).collect()

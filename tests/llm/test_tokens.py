@@ -60,9 +60,11 @@ def test_cached_chunks_are_the_library(libraries):
 def test_caches_forget_and_agree(libraries):
     from tidemark.llm.common import TwoGenerations
 
-    cache = TwoGenerations(3, lambda k: k * 2)
+    cache = TwoGenerations(lambda k: k * 2, most_bytes=600)
     assert [cache[k] for k in "abcdabeacd" * 3] == [k * 2 for k in "abcdabeacd" * 3]
-    assert len(cache) <= 3 and len(cache.old) <= 3
+    assert len(cache) <= 4 and len(cache.old) <= 4
+    cache["x" * 1000], cache["y"], cache["z" * 1000], cache["y"]
+    assert sum(map(len, cache)) + sum(map(len, cache.old)) <= 2010
 
 
 def test_op8_query(spark, tables, libraries):

@@ -30,8 +30,6 @@ MARK = "\0"
 NEVER = 1 << 60
 START = (0, -1)
 SHIFT = 1_000_000
-WORD_CACHE = 400_000
-CHUNK_CACHE = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -151,8 +149,8 @@ class WordTokenizer:
         self.symbols = byte_symbols()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words = TwoGenerations(WORD_CACHE, self._word)
-        self.cache = TwoGenerations(CHUNK_CACHE, self._chunk)
+        self.words = TwoGenerations(self._word)
+        self.cache = TwoGenerations(self._chunk)
 
     def _word(self, piece: str) -> tuple:
         ids = self.bpe.encode("".join(map(self.symbols.__getitem__, piece.encode())))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 import weakref
@@ -78,27 +79,37 @@ def claim(module: str) -> None:
                 _caches.remove(ref)
             elif cache.make.__module__ != module:
                 cache.clear()
-                cache.old = {}
+                cache.old, cache.held = {}, 0
+
+
+#: Bytes of one generation of a cache, as its entries are estimated.
+CACHE_BYTES = 40 << 20
+
+
+def _bytes_of(x) -> int:
+    return sys.getsizeof(x) + (sum(map(sys.getsizeof, x)) if isinstance(x, tuple) else 0)
 
 
 class TwoGenerations(dict):
-    """A cache of at most 2 * size entries: when the young generation is full it becomes the old one.
+    """A cache of at most two generations of ``most_bytes``: when the young one is full it becomes the old one.
 
-    Entries in use move back to the young generation, so that frequent keys stay.
+    Entries in use move back to the young generation, so that frequent keys stay. Entries count by the bytes of key and
+    value, so long keys (encoded data, minified code) fill it no further than short ones.
     """
 
-    def __init__(self, size: int, make: Callable):
+    def __init__(self, make: Callable, most_bytes: int = CACHE_BYTES):
         super().__init__()
-        self.size, self.make, self.old = size, make, {}
+        self.most_bytes, self.make, self.old, self.held = most_bytes, make, {}, 0
         _caches.append(weakref.ref(self))
 
     def __missing__(self, key):
         got = self.old.get(key)
         if got is None:
             got = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
+        if self.held > self.most_bytes:
+            self.old, self.held = dict(self), 0
             self.clear()
+        self.held += 80 + _bytes_of(key) + _bytes_of(got)
         self[key] = got
         return got
 

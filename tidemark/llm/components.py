@@ -17,8 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(u, v) edges of any ordered type to (node, root): root is the smallest node of the component.
 
     Nodes without an edge do not occur. Each step is a grouped minimum and an equi-join, written to the
-    shared folder; the edge table never grows and nothing of it comes to the driver but its checksum. The minima are
-    written before they are joined, so that the edges of a hub, which share its key, meet them in a join of two plain shuffles,
+    shared folder; the edge table never grows and nothing of it comes to the driver but its checksum. The minima of the
+    large star are written before they are joined, so that the edges of a hub, which share its key, meet them in a join of two plain shuffles,
     which Spark splits where it is skewed. Tables of earlier steps are deleted. An empty table gives an empty one;
     loops and repeated edges do no harm.
     """
@@ -31,10 +31,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(spark, now.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "edges")
         forget(now, low)
         # small star: smaller neighbours of u, and u, go to the smallest of them
-        low = written(spark, large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
         now = written(spark, small, "edges")
-        forget(large, low)
+        forget(large)
         before, state = state, _state(now)
         if state == before:
             break

@@ -53,14 +53,13 @@ BLOCK = 512
 BLOCK_SHINGLES = 2_000_000
 #: Bits of the map of wanted rows: 16 a row, and at most 2^28 (32 MB) whatever the number of rows.
 BITS_A_ROW, MOST_BITS = 16, 1 << 28
-WORD_CACHE = 400_000
 
 _rng = np.random.default_rng(20_240_517)
 FACTORS = (_rng.integers(0, 1 << 32, HASHES, np.uint64) | np.uint64(1)).astype(np.uint32)
 OFFSETS = _rng.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
-_words = TwoGenerations(WORD_CACHE, lambda w: xxhash.xxh64_intdigest(w.lower().encode("utf-8", "surrogatepass")))
+_words = TwoGenerations(lambda w: xxhash.xxh64_intdigest(w.lower().encode("utf-8", "surrogatepass")))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

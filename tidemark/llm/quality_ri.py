@@ -37,7 +37,6 @@ NONZERO, WINDOW = 2, 2
 SAMPLE_ROWS, CALIBRATION = 20_000, 5
 HIDDEN, STEPS, BATCH, RATE, DECAY = 48, 2500, 256, 3e-3, 1e-4
 THRESHOLD = 0.3
-CACHE = 250_000
 FEATURES = 4 * DIM + 5
 
 UPPER, CAPITAL, LOWER, DIGITS, REPEAT = re.compile(r"[^\W\d_a-zß-öø-ÿ]{2,}"), re.compile(r"[^\W\d_a-zß-öø-ÿ][a-zß-öø-ÿ]*"), re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"\d+"), re.compile(r"(.)\1{3,}")
@@ -52,7 +51,7 @@ def rows_of(chunk: str) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % WORD_ROWS * FORM_ROWS + zlib.crc32(form.encode("utf-8", "replace")) % FORM_ROWS
 
 
-_rows = TwoGenerations(CACHE, rows_of)
+_rows = TwoGenerations(rows_of)
 
 
 def rows_in(text: str | None) -> tuple[np.ndarray, np.ndarray]:

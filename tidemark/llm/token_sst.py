@@ -46,7 +46,8 @@ RESTART_EVERY = 16
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
 ID_BYTES = 9
-CHUNK_CACHE = 500_000
+#: Bytes of a generation of the encoder's cache, and of an entry beside its text and ids.
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 160
 
 
 def key_of(doc_id: int | None, text_hash: int = 0, number: int = 0) -> bytes:
@@ -218,7 +219,7 @@ class CachedEncoder:
 
     A pre-token never reaches over the border between a non-space and the white space after it, nor over a
     single space that a non-space follows on both sides, so runs can be encoded alone. Texts with any other
-    white space pattern, or with special tokens, go to the library whole.
+    white space pattern, or with special tokens, go to the library whole. The cache is bounded by its bytes.
     """
 
     UNUSUAL = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -234,6 +235,7 @@ class CachedEncoder:
         self.id_width = 2 if max(self.library.get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
         self.after_space: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def pack(self, ids) -> bytes:
         return np.asarray(ids, f"<u{self.id_width}").tobytes()
@@ -248,9 +250,10 @@ class CachedEncoder:
                 new[p] = b
         for p, e in zip(look, self.library.encode_batch_fast([" " + p for p in look], add_special_tokens=False), strict=True):
             new[p] = self.pack(e.ids)
-        if len(self.after_space) + len(new) > CHUNK_CACHE:
-            self.old, self.after_space = self.after_space, {}
+        if self.held > CACHE_BYTES:
+            self.old, self.after_space, self.held = self.after_space, {}, 0
         self.after_space.update(new)
+        self.held += ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(map(len, new.values()))
         return [new[p] if g is None else g for p, g in zip(pieces, got, strict=True)]
 
     def encode(self, text: str | None) -> bytes:
