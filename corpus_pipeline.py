@@ -3,6 +3,12 @@
 Rows that the quality classifier rejects go; of each group of near copies one document stays; documents that hold
 benchmark passages go; personal data is put under pseudonyms; what is left is encoded and decoded. Every stage
 works on all rows that its predecessor kept, and its model and statistics come from those rows.
+
+Null and empty texts are scored, kept, cleaned and encoded like any others; only the classifier's score decides about them, and
+they are no near copies of each other. Rows with a null id are told apart by their text. Of repeated rows (equal id and
+text) near_copies keeps one; of a class the smallest id stays. Empty tables give empty tables, and without labels
+all rows get one score. All stages but the last pass on the columns of documents, further ones too, whatever their
+names, if they do not end in two underscores.
 """
 
 from __future__ import annotations
