@@ -180,6 +180,45 @@ def test_estimates_are_the_numpy_ones(spark, tmp_path):
     assert (d2[900:] > mcd.CUTOFF).all() and (d2[:900] < mcd.CUTOFF).all()
 
 
+def plain_mcd(x, rng, starts=30):
+    """Location and scatter of the subset with the smallest determinant, by concentration to the end from random starts."""
+    h, best = int(np.ceil(mcd.KEEP * len(x))), (np.inf, None)
+    for _ in range(starts):
+        at = rng.choice(len(x), 8, replace=False)
+        for _ in range(50):
+            mean, cov = x[at].mean(0), np.cov(x[at].T, bias=True) + 1e-9 * np.eye(x.shape[1])
+            d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            new = np.sort(np.argsort(d2, kind="stable")[:h])
+            if np.array_equal(new, at):
+                break
+            at = new
+        best = min(best, (np.linalg.slogdet(cov)[1], tuple(at)), key=lambda b: b[0])
+    at = np.array(best[1])
+    return x[at].mean(0), mcd.CONSISTENCY * np.cov(x[at].T, bias=True) + np.diag(np.square(mcd.FLOOR))
+
+
+@pytest.mark.parametrize("share", [0.05, 0.2])
+def test_verdicts_are_those_of_a_plain_minimum_covariance_determinant(spark, share):
+    rng = np.random.default_rng(7)
+    scatter = np.diag([0.01, 0.2, 0.1, 0.02, 1.0]) + 0.004
+    groups = {}
+    for name, shift in (("a", 0.0), ("b", 2.0)):
+        bad = int(800 * share)
+        groups[name] = np.concatenate([rng.multivariate_normal(np.full(5, shift), scatter, 800 - bad), rng.normal(shift + 4, 0.3, (bad, 5))])
+    rows = spark.createDataFrame([(g, *map(float, r)) for g, x in groups.items() for r in x], "group string, " + ", ".join(f"{s} double" for s in mcd.STATISTICS))
+    estimate = mcd.minimum_covariance(rows)
+    found = {}
+    for r in mcd.with_distance(rows, estimate).collect():
+        found.setdefault(r["group"], {})[tuple(r[s] for s in mcd.STATISTICS)] = r["d2"]
+    for g, x in groups.items():
+        mean, cov = plain_mcd(x, rng)
+        d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        ours = np.array([found[g][tuple(map(float, r))] for r in x])
+        assert ((ours > mcd.CUTOFF) == (d2 > mcd.CUTOFF)).all() and (ours > mcd.CUTOFF).sum() == int(800 * share)
+        e = estimate.filter(F.col("group") == g).first()
+        assert np.allclose([e[f"m{i}"] for i in range(5)], mean, atol=0.08)
+
+
 def test_op3_rejects_junk_and_keeps_prose(spark, tables):
     rnd = random.Random(4)
     words = [f"{a}{b}" for a in "ka to mi ne ru so".split() for b in "la de fi go pu".split()] + ["of", "the", "and"]

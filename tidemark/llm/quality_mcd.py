@@ -4,7 +4,8 @@ Each text gives counts: words, characters in words, symbols, repeated lines, and
 occur twice or more. Two plain rules come first (too few words, too much repetition). Of the texts that pass, five
 transformed statistics per text are compared with the text's own group, its language and source: location and
 scatter are minimum-covariance-determinant estimates, found by concentration steps (keep the share ``KEEP`` of the
-texts with the smallest Mahalanobis distance, estimate again) from a start at medians and quartiles. A text whose
+texts with the smallest Mahalanobis distance, estimate again) from two starts, medians and quartiles, and all texts'
+mean and covariance; the scatter with the smaller determinant is taken. A text whose
 squared distance from the final estimate exceeds ``CUTOFF`` is rejected.
 
 The share is cut at a bin of a fixed logarithmic histogram of distances, and the start's quantiles at bins of fixed
@@ -14,7 +15,8 @@ that every statistic is granted), so statistics that hardly vary inside a group
 
 Groups of fewer than ``LEAST`` texts that pass are pooled by language, then all together; if those are too few as
 well, the plain rules decide alone. Null languages and sources are groups of their own. Null texts have no words.
-Repeated rows get equal results.
+Repeated rows get equal results. An empty table gives an empty one. Of the table only id, language, source and text
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ STATISTICS = ("x0", "x1", "x2", "x3", "x4")
 #: Spread granted to every statistic: log word length, log symbols, log repeated lines, repeated share, log words.
 FLOOR = (0.06, 0.25, 0.35, 0.10, 1.0)
 KEEP, STEPS, LEAST = 0.75, 3, 60
-MOST_GROUPS = 50_000
+#: Bytes up to which a table with a row a group is broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Chi-squared with 5 degrees of freedom passes 40 with probability 1.5e-7.
 CUTOFF = 40.0
 #: h / P(chi2 with 7 degrees <= the 0.75 quantile of chi2 with 5): makes the trimmed scatter consistent.
@@ -121,11 +124,13 @@ def cholesky(groups: DataFrame, cov: list[list[str]], keep: list[str]) -> DataFr
 
 
 def hinted(groups: DataFrame) -> DataFrame:
-    """A table with a row a group, to be broadcast if it is counted to have at most MOST_GROUPS rows (some 200 bytes each).
+    """A table with a row a group, to be broadcast if its bytes, measured as text, are at most BROADCAST_BYTES.
 
     Left to itself Spark may deal the texts out by group, and a hot group to one task, before it sees how small this is.
+    Beyond the bound both sides are shuffled, and Spark splits the hot groups.
     """
-    return F.broadcast(groups) if groups.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS else groups
+    size = groups.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(groups) if size <= BROADCAST_BYTES else groups
 
 
 def with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
@@ -155,15 +160,15 @@ def start(rows: DataFrame) -> DataFrame:
     return wide.select("group", *[f"m{i}" for i in range(p)], *[diagonal[i][j].alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)])
 
 
-def concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """One concentration step: location and scatter of the texts of each group that are nearest to the estimate."""
+def concentrate(rows: DataFrame, estimate: DataFrame, keep: float = KEEP) -> DataFrame:
+    """One concentration step: location and scatter of the share ``keep`` of the texts of each group that are nearest to the estimate."""
     p = len(STATISTICS)
     near = with_distance(rows, estimate).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-9) * BINS_AN_OCTAVE))
     # sums a bin, added up over the bins below the cut: one pass over the rows
     sums = [F.count("*").alias("n")] + [F.sum(x).alias(f"a{i}") for i, x in enumerate(STATISTICS)] + [F.sum(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"a{i}{j}") for i in range(p) for j in range(i + 1)]
     bins = near.groupBy("group", "bin").agg(*sums)
     below = F.sum("n").over(Window.partitionBy("group").orderBy("bin")) - F.col("n")
-    kept = bins.withColumn("below", below).withColumn("all", F.sum("n").over(Window.partitionBy("group"))).filter(F.col("below") < KEEP * F.col("all"))
+    kept = bins.withColumn("below", below).withColumn("all", F.sum("n").over(Window.partitionBy("group"))).filter(F.col("below") < keep * F.col("all"))
     total = kept.groupBy("group").agg(F.sum("n").alias("n"), *[F.sum(f"a{i}").alias(f"a{i}") for i in range(p)], *[F.sum(f"a{i}{j}").alias(f"a{i}{j}") for i in range(p) for j in range(i + 1)])
     means = total.select("group", *[(F.col(f"a{i}") / F.col("n")).alias(f"m{i}") for i in range(p)], *[(F.col(f"a{i}{j}") / F.col("n")).alias(f"a{i}{j}") for i in range(p) for j in range(i + 1)])
     cov = [[f"c{i}{j}" for j in range(i + 1)] for i in range(p)]
@@ -171,6 +176,23 @@ def concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return cholesky(scatter, cov, ["group"])
 
 
+def minimum_covariance(fit: DataFrame) -> DataFrame:
+    """The estimate of each group with the smallest determinant, of those that concentration steps reach from two starts:
+    medians and quartiles, and the mean and covariance of all texts. Equal determinants: the first."""
+    spark = fit.sparkSession
+    robust = written(spark, start(fit), "mcd-start")
+    found = None
+    for number, estimate in enumerate((robust, written(spark, concentrate(fit, robust, 1.0), "mcd-start"))):
+        for _ in range(STEPS):
+            estimate = written(spark, concentrate(fit, estimate), "mcd-step")
+        log_det = sum((F.log(f"l{i}{i}") for i in range(1, len(STATISTICS))), F.log("l00"))
+        ranked = estimate.withColumn("rank", F.struct(F.round(log_det, 6).alias("det"), F.lit(number).alias("number")))
+        found = ranked if found is None else found.unionByName(ranked)
+    columns = [c for c in found.columns if c not in ("group", "rank")]
+    best = found.groupBy("group").agg(F.min_by(F.struct(*columns), "rank").alias("e")).select("group", *[f"e.{c}" for c in columns])
+    return written(spark, best, "mcd")
+
+
 def with_groups(counts: DataFrame, by: tuple[str, str]) -> DataFrame:
     """Adds group: the text's language and source, or a pool if they have too few texts; null if all are too few."""
     lang, source = by
@@ -200,10 +222,7 @@ def judge(docs: DataFrame, text: str = "text", by: tuple[str, str] = ("lang", "s
     rows = with_groups(counts, by).withColumn("base_failed", base_failed()).select("*", *[s.alias(x) for x, s in zip(STATISTICS, statistics(), strict=True)])
     rows = written(spark, rows, "text-statistics")
     fit = rows.filter(~F.col("base_failed") & F.col("group").isNotNull()).select("group", *STATISTICS)
-    estimate = written(spark, start(fit), "mcd-start")
-    for _ in range(STEPS):
-        estimate = written(spark, concentrate(fit, estimate), "mcd-step")
-    out = with_distance(rows, estimate).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
+    out = with_distance(rows, minimum_covariance(fit)).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF))
 
 

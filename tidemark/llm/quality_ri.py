@@ -209,7 +209,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, teaches: Column, vectors: np
             x = pooler.features(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y").cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").mapInArrow(run, "doc_id long, y int, x binary").toArrow()
+    # of an id that several rows have, one text: the first in order
+    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
+    got = texts.mapInArrow(run, "doc_id long, y int, x binary").toArrow()
     y = got.column("y").to_numpy()
     if len(set(y.tolist())) < 2:
         return Network.constant((y.sum() + 0.5) / (len(y) + 1))
