@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.validators import requires_encryption
 
-#: Tables of rules up to so many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Tables of rules up to so many bytes are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 class NotFound(LookupError):
@@ -16,8 +16,9 @@ class NotFound(LookupError):
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df`` with a broadcast hint if its bytes, measured as text, are few."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def by_id(df: DataFrame, column: str, value) -> DataFrame:
