@@ -232,7 +232,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
     spread_rows = nodes.select("node", "bands").mapInArrow(spread, "bucket long, node binary")
     sizes = written(nodes.sparkSession, spread_rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
-    shared = spread_rows.join(sizes, "bucket")
+    shared = spread_rows.join(sizes.hint("merge"), "bucket")
     return _in_blocks(shared.join(nodes, "node"), "bucket", F.ceil(F.col("size") / BLOCK).cast("int"), "node")
 
 
