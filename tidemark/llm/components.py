@@ -39,4 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
     # now a forest of depth one: every node but the roots points at its root
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    forest = now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = written(spark, forest, "components")
+    forget(now)
+    return out

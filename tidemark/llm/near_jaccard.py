@@ -216,10 +216,11 @@ def signatures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
     return map_batches(docs, keep, work, schema, [text])
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
+def _buckets(nodes: DataFrame, done: list[DataFrame]) -> DataFrame:
     """Rows of ``nodes`` (node, n_shingles, signature, bands and further columns), one for each bucket and pair of blocks.
 
-    Buckets are counted by a grouped count and the counts, written, are joined back: Spark splits that join where a bucket is hot.
+    Buckets are counted by a grouped count and the counts, written, are joined back: Spark splits that join where a bucket
+    is hot. The written table joins ``done``, to be deleted when the rows have been used.
     """
 
     def spread(batches):
@@ -232,6 +233,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
     spread_rows = nodes.select("node", "bands").mapInArrow(spread, "bucket long, node binary")
     sizes = written(nodes.sparkSession, spread_rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
+    done.append(sizes)
     shared = spread_rows.join(sizes.hint("merge"), "bucket")
     return _in_blocks(shared.join(nodes, "node"), "bucket", F.ceil(F.col("size") / BLOCK).cast("int"), "node")
 
@@ -280,7 +282,7 @@ def _survivors(t: pa.Table, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found_a or none), np.concatenate(found_b or none)
 
 
-def candidate_edges(nodes: DataFrame) -> DataFrame:
+def candidate_edges(nodes: DataFrame, done: list[DataFrame]) -> DataFrame:
     """(u, v, degree): star edges (degree null) over the pairs of ``nodes`` that survive the pruning, and (v null) parts of each node's number of such pairs."""
     least = least_matches()
 
@@ -296,10 +298,10 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
             v = pa.concat_arrays([node.take(pa.array(root[edge])), pa.nulls(len(some), pa.binary())])
             yield pa.RecordBatch.from_arrays([u, v, pa.array([None] * len(edge) + degree[some].tolist(), pa.int64())], ["u", "v", "degree"])
 
-    return _buckets(nodes).select(*BUCKET_ROW).mapInArrow(prune, "u binary, v binary, degree long")
+    return _buckets(nodes, done).select(*BUCKET_ROW).mapInArrow(prune, "u binary, v binary, degree long")
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
+def candidate_pairs(nodes: DataFrame, done: list[DataFrame]) -> DataFrame:
     """(u, v): the pairs that survive the pruning and of which at least one node is marked ``lone``."""
     least = least_matches()
 
@@ -311,7 +313,7 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
             node = t.column("node").combine_chunks()
             yield pa.RecordBatch.from_arrays([node.take(pa.array(a[ok])), node.take(pa.array(b[ok]))], ["u", "v"])
 
-    return _buckets(nodes).select(*BUCKET_ROW, "lone").mapInArrow(prune, "u binary, v binary")
+    return _buckets(nodes, done).select(*BUCKET_ROW, "lone").mapInArrow(prune, "u binary, v binary")
 
 
 def wanted_map(rows: DataFrame, key: str) -> np.ndarray:
@@ -452,8 +454,9 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     each = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), F.min("bands").alias("bands"))
     nodes = written(spark, each, "nodes")
     told = nodes.select("node", "n_shingles", "signature", "bands")
-    pruned = written(spark, candidate_edges(told), "pruned")
-    group = written(spark, components(pruned.filter("v is not null").select("u", "v")), "groups")
+    done: list[DataFrame] = [nodes]
+    pruned = written(spark, candidate_edges(told, done), "pruned")
+    group = components(pruned.filter("v is not null").select("u", "v"))
     degrees = pruned.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("degree").alias("degree"))
     held = group.join(nodes.select("node", "copy_of", "copies", "n_shingles"), "node").join(degrees, "node")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
@@ -467,18 +470,21 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     parts = verified(dense, sets)
     if not members.filter("lone").isEmpty():
         sets = written(spark, sets, "shingles")
+        done.append(sets)
         mixed = members.groupBy("root").agg(F.max("lone").alias("mixed")).filter("mixed").select("root")
         marked = told.join(members.join(mixed, "root").select("node", "lone"), "node")
-        parts = verified(dense, sets).unionByName(verified_pairs(written(spark, candidate_pairs(marked), "pairs"), members.select("node", "copies", "doc_id"), sets))
+        pairs = written(spark, candidate_pairs(marked, done), "pairs")
+        done.append(pairs)
+        parts = verified(dense, sets).unionByName(verified_pairs(pairs, members.select("node", "copies", "doc_id"), sets))
     parts = written(spark, parts, "verified")
     # the links of a group may be dealt over several pairs of blocks: their parts are joined here
-    classes = written(spark, components(parts.select(F.col("node").alias("u"), F.col("root").alias("v"))), "links")
+    classes = components(parts.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = parts.groupBy("node").agg(F.sum("links").alias("links"))
     names = classes.join(nodes.select("node", "copy_of"), "node").groupBy("root").agg(F.min("copy_of").alias("class_id"))
     final = nodes.select("node", "copy_of", "copies").join(classes.join(names, "root").select("node", "root", "class_id"), "node", "left").join(links, "node", "left")
     final = final.select("node", "copy_of", F.coalesce("root", "node").alias("class_node"), F.coalesce("class_id", "copy_of").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     named = written(spark, final, "classes")
-    forget(nodes, pruned, group, members, parts, classes)  # only the signatures and the classes are read on
+    forget(*done, pruned, group, members, parts, classes)  # only the signatures and the classes are read on
     rows = signed.select("doc_id", "text_hash", "node").join(named, "node", "left")
     alone = F.col("node").isNull()
     return rows.select(
