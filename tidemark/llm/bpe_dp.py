@@ -27,6 +27,8 @@ from .common import TwoGenerations, map_batches, small_batches, table
 END = "</w>"
 #: One code point stands for the end-of-word suffix inside the automaton.
 MARK = "\0"
+#: Bytes of a generation of the words' cache: words are found again more often than whole runs.
+WORD_CACHE_BYTES = 96 << 20
 NEVER = 1 << 60
 START = (0, -1)
 SHIFT = 1_000_000
@@ -149,7 +151,7 @@ class WordTokenizer:
         self.symbols = byte_symbols()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words = TwoGenerations(self._word)
+        self.words = TwoGenerations(self._word, WORD_CACHE_BYTES)
         self.cache = TwoGenerations(self._chunk)
 
     def _word(self, piece: str) -> tuple:
