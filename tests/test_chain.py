@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import ZERO_HASH
 from tidemark.operators import chain
+from tidemark.sources.tables import scratch
+from tidemark.streaming import monitors, sink
 
 
 def entries(spark, n=30):
@@ -45,3 +47,30 @@ def test_lineage_numbers_rows(spark):
     df = spark.createDataFrame([(1, i, bytes([i])) for i in range(5)], "k int, t long, data binary")
     got = chain.lineage(df, "k", ["t"], "data", "f").orderBy("t").collect()
     assert [r["row_id"] for r in got] == list(range(5)) and got[0]["row_prev_hash"] == ZERO_HASH and len({r["row_prev_hash"] for r in got}) == 5
+
+
+def test_monitor_puts_a_micro_batch_in_order_and_goes_on_from_the_one_before(spark):
+    rows = entries(spark, 300)
+    path = scratch(spark, "monitored")
+
+    def watched(part, *bad):
+        """Entries over several files, the later ones of a chain in the earlier files."""
+        bad_hash = F.when(F.col("chain_seq").isin(*bad), F.lit("0" * 64)).otherwise(F.col("data_hash"))
+        part.drop("data").withColumn("data_hash", bad_hash).orderBy(F.desc("chain_seq")).repartition(5).write.mode("append").parquet(f"{path}/in")
+        q = monitors.chain_monitor(sink.held_back(spark, f"{path}/in", spark.read.parquet(f"{path}/in").schema), "chain", "ts", path)
+        q.awaitTermination()
+        got = spark.read.parquet(f"{path}/out")
+        return got.count(), {(r["chain"], r["chain_seq"], r["reason"]) for r in got.filter("reason is not null").collect()}
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert watched(rows.filter("chain_seq < 40"), 5) == (80, {("c1", 5, "HASH"), ("c2", 5, "HASH")})
+        first = {("c1", 5, "HASH"), ("c2", 5, "HASH")}
+        assert watched(rows.filter("chain_seq between 40 and 79 and chain = 'c1'")) == (120, first)
+        # c2 was not in the batch before; entry 81 is missing, and 90 carries another link
+        more = rows.filter("(chain = 'c2' and chain_seq >= 40) or (chain = 'c1' and chain_seq >= 80)").filter("chain = 'c2' or chain_seq <> 81")
+        more = more.withColumn("prev_hash", F.when(F.col("chain_seq") == 90, F.lit("f" * 64)).otherwise(F.col("prev_hash")))
+        n, bad = watched(more)
+        assert (n, bad - first) == (299, {("c1", 82, "SEQUENCE"), ("c1", 90, "LINK"), ("c2", 90, "LINK")})
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-import struct
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.hashing import ZERO_HASH
+from ..functions.hashing import ZERO_HASH, entry_hash
 
 
 def rate_monitor(events: DataFrame, key: str, ts: str, width: int, alert_at: int = 10) -> DataFrame:
@@ -37,27 +37,34 @@ def rate_monitor(events: DataFrame, key: str, ts: str, width: int, alert_at: int
     return events.select(key, ts).groupBy(key).applyInPandasWithState(step, f"key {kind}, ts long, event_count long, alert boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def chain_monitor(entries: DataFrame, chain_id: str, ts: str) -> DataFrame:
-    """(chain, chain_seq, reason) of each entry as it comes: null for a sound one, else SEQUENCE, LINK, HASH or TIME.
+def chain_monitor(entries: DataFrame, chain_id: str, ts: str, path: str) -> StreamingQuery:
+    """Writes (chain, chain_seq, reason) of each entry as it comes to ``path``/out: null for a sound one, else SEQUENCE, LINK, HASH or TIME.
 
-    State is the next sequence number, the last hash and the last time of each chain.
+    Entries of a micro-batch may come in any order and from any number of files: a sort, which spills, puts each chain in
+    order, and no chain is held in memory. State is the last sequence number, hash and time of each chain, of this
+    micro-batch and the one before; a micro-batch that comes again replaces what it wrote.
     """
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, prev, last = state.get if state.exists else (0, ZERO_HASH, None)
-        rows = []
-        for f in frames:
-            for r in f.sort_values("chain_seq").itertuples(index=False):
-                own = hashlib.sha256(struct.pack("<qq", r.chain_seq, getattr(r, ts)) + bytes.fromhex(r.prev_hash) + bytes.fromhex(r.data_hash)).hexdigest()
-                reason = "SEQUENCE" if r.chain_seq != seq else "LINK" if r.prev_hash != prev else "HASH" if r.chain_hash != own else "TIME" if last is not None and getattr(r, ts) < last else None
-                rows.append((k[0], int(r.chain_seq), reason))
-                seq, prev, last = int(r.chain_seq) + 1, r.chain_hash, int(getattr(r, ts))
-        state.update((seq, prev, last))
-        yield pd.DataFrame(rows, columns=["chain", "chain_seq", "reason"])
-
-    kind = dict(entries.dtypes)[chain_id]
-    columns = entries.select(chain_id, "chain_seq", ts, "prev_hash", "data_hash", "chain_hash")
-    return columns.groupBy(chain_id).applyInPandasWithState(step, f"chain {kind}, chain_seq long, reason string", "seq long, prev string, last long", "append", GroupStateTimeout.NoTimeout)
+    order = ["chain_seq", "ts", "prev_hash", "chain_hash"]
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = batch.select(F.col(chain_id).alias("chain"), "chain_seq", F.col(ts).alias("ts"), "prev_hash", "data_hash", "chain_hash", F.lit(True).alias("new"))
+        if number:
+            held = batch.sparkSession.read.parquet(f"{path}/state-{(number - 1) % 2}").select("chain", "last.*", F.lit(False).alias("new"))
+            rows = rows.unionByName(held, allowMissingColumns=True)
+        seen = Window.partitionBy("chain").orderBy("new", *order)
+        before = lambda c, first: F.when(F.row_number().over(seen) == 1, F.lit(first)).otherwise(F.lag(c).over(seen))
+        fails = lambda right: ~F.coalesce(right, F.lit(False))
+        reason = (
+            F.when(fails(F.col("chain_seq") == before("chain_seq", -1) + 1), "SEQUENCE")
+            .when(fails(F.col("prev_hash") == before("chain_hash", ZERO_HASH)), "LINK")
+            .when(fails(F.col("chain_hash") == entry_hash(F.col("chain_seq"), F.col("ts"), F.col("prev_hash"), F.col("data_hash"))), "HASH")
+            .when(F.col("ts") < F.lag("ts").over(seen), "TIME")
+        )
+        rows.withColumn("reason", reason).filter("new").select("chain", "chain_seq", "reason").write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        last = F.max_by(F.struct("chain_seq", "ts", "chain_hash"), F.struct("new", *order))
+        rows.groupBy("chain").agg(last.alias("last")).write.mode("overwrite").parquet(f"{path}/state-{number % 2}")
+
+    return entries.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
 
 
 def on_alert(monitored: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str):
