@@ -86,9 +86,19 @@ def row_group(spark, path: str, number: int) -> DataFrame:
     return with_row_group(spark, path).filter(F.col("row_group") == number)
 
 
-def by_row_index(spark, path: str) -> DataFrame:
-    """Rows with their place in the file, to be addressed by it."""
-    return spark.read.parquet(path).select(F.col("_metadata.row_index").alias("row_index"), "*")
+def by_row_index(spark, path: str, order: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Rows with row_index, their place in the whole table from 0, to be addressed by it.
+
+    The table's order is that of ``order``, nulls last; rows equal in it, or all rows without one, stand by file and place
+    in the file. No task holds the table: places come from a sort by range.
+    """
+    from .aggregates import with_rank
+
+    rows = spark.read.parquet(path)
+    key = [x for c in order or [] for x in (F.col(c).isNull(), F.col(c))] + [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    key = [c.alias(f"k{i}") for i, c in enumerate(key)]
+    placed = with_rank(rows.select(F.struct(*key).alias("key"), F.struct(*(columns or rows.columns)).alias("row")), "key")
+    return placed.select((F.col("rank") - 1).alias("row_index"), "row.*")
 
 
 def first_rows(df: DataFrame, n: int = 50, order: list[str] | None = None) -> DataFrame:
