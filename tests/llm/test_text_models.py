@@ -318,6 +318,26 @@ def test_op9_counts_of_all_documents_make_the_plain_model(spark):
     assert sum(map(len, small.keys[2:])) <= 100 and len(small.keys[1]) == len(model.keys[1])
 
 
+def test_op9_ngrams_that_are_not_held_count_all_the_same(spark):
+    rnd = random.Random(5)
+    letters = {"xx": "abcdefghij", "yy": "fghijklmno"}
+    make = lambda lang: " ".join("".join(rnd.choice(letters[lang]) for _ in range(rnd.randint(1, 7))) for _ in range(rnd.randint(1, 12)))
+    rows = [(i, make(lang), lang) for i in range(150) for lang in letters]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    more = [(1000 + i, t, None) for i, t in enumerate([make("xx") + " " + make("yy"), "zzé fghizz", "fg" * 40, None, "", "12 !", "fghij " * 5])]
+    tests = df.union(spark.createDataFrame(more + more[:2], "doc_id long, text string, lang string"))
+    whole = kn.fit_languages(df, F.lit(True))
+    want = sorted(map(tuple, kn.identify(tests, whole, ["doc_id"]).collect()))
+    assert whole.rest is None and len(want) == 309
+    for most in (0, 100, 2000):
+        held = kn.fit_languages(df, F.lit(True), most_grams=most)
+        assert held.rest and sum(map(len, held.keys[2:])) <= max(most, 3)
+        assert held.temperature == whole.temperature and np.allclose(held.mean, whole.mean, rtol=1e-5) and np.allclose(held.spread, whole.spread, rtol=1e-4)
+        got = sorted(map(tuple, kn.identify(tests, held, ["doc_id"]).collect()))
+        assert [(g[0], g[1], g[4]) for g in got] == [(w[0], w[1], w[4]) for w in want]
+        assert np.allclose([[x or 0 for x in g[2:4]] for g in got], [[x or 0 for x in w[2:4]] for w in want], rtol=1e-4)
+
+
 def test_op9_held_out_accuracy(spark, sf_dir):
     truth = {r["doc_id"]: r["lang"] for r in table(spark, sf_dir, "documents").collect()}
     got = kn.op9_language_kn(spark, sf_dir).collect()

@@ -9,8 +9,10 @@ probabilities, and the spread of cross-entropies of those documents calibrates a
 best cross-entropy is far above what its language's documents show is marked ``rejected``.
 
 The models learn from every teaching document: n-grams are counted by the tasks and merged by grouped sums, and
-so are the kinds of characters before and after them. ``MOST_GRAMS`` bounds the model's size; beyond it the rarest
-n-grams fall away. Scoring reads every text whole.
+so are the kinds of characters before and after them. ``MOST_GRAMS`` bounds what workers hold, not the model: beyond
+it the rarest n-grams stay in a table. A character's probability hangs on the last ``ORDER`` characters, its window, so
+windows that hang on such n-grams are scored by a join with the table, each once, and added to their texts' sums: the
+result is that of the whole model. Scoring reads every text whole.
 
 Null texts and texts without a letter are ``und`` with score 0. Null languages teach nothing. Repeated
 rows are kept. An empty table, or one that teaches no language, gives ``und`` for every row. Of equal
@@ -27,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,13 +37,15 @@ from pyspark.sql import types as T
 from .common import crc_mod, forget, map_batches, small_batches, table, written
 
 ORDER = 5
-#: N-grams of three characters and more that the model holds at most, over all languages.
+#: N-grams of three characters and more that workers hold at most, over all languages; the others are joined.
 MOST_GRAMS = 1_000_000
 #: Documents a language that are kept from the counts, for temperature and rejection; at most one in CALIBRATION.
 CALIBRATION_DOCS, CALIBRATION = 300, 5
 #: A text is rejected beyond so many standard deviations of its language's calibration documents.
 REJECT_SIGMAS = 6.0
 CACHE_BYTES = 64 << 20
+#: All n-grams of a model that is not held whole: a row an n-gram, a cell a language.
+REST = "k int, h long, n long, cells array<struct<lang:string,mass:double,weight:double,base:double>>"
 START, END = 2, 3
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -50,10 +55,14 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def padded(words: list[str]) -> list[str]:
+    return ["\2" + w + "\3" for w in words]
+
+
 def laid_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all padded words in a row, the place of each within its word, and its word's number."""
-    codes = np.frombuffer("".join(["\2" + w + "\3" for w in words]).encode("utf-32-le"), "<u4").astype(np.uint64)
-    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    """Code points of all (padded) words in a row, the place of each within its word, and its word's number."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.cumsum(sizes) - sizes
     return codes, np.arange(len(codes)) - np.repeat(starts, sizes), np.repeat(np.arange(len(words)), sizes)
 
@@ -73,7 +82,11 @@ def hashes(codes: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.nd
 
 @dataclass
 class KneserNey:
-    """keys[k]: sorted hashes of order k + 1; mass[k], weight[k]: a row a key, a column a language."""
+    """keys[k]: sorted hashes of order k + 1; mass[k], weight[k]: a row a key, a column a language.
+
+    ``rest`` is the table (``REST``) of all n-grams where not all are held. Those held are the most frequent over all
+    languages together, with all their cells, and all of one and two characters.
+    """
 
     languages: list[str]
     keys: list[np.ndarray]
@@ -83,14 +96,12 @@ class KneserNey:
     mean: np.ndarray
     spread: np.ndarray
     temperature: float = 1.0
+    rest: str | None = None
 
-    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """log2 probability of each word under each language, and its number of predicted characters."""
-        n = len(self.languages)
-        if not words or not n:
-            return np.zeros((len(words), n), np.float32), np.zeros(len(words), np.int64)
-        codes, place, number = laid_out(words)
+    def places(self, codes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log2 probability of each character under each language, and whether it hangs on n-grams that may lie in the rest."""
         index, p = None, np.tile(self.floor, (len(codes), 1))
+        hangs = np.zeros(len(codes), bool)
         for k, (at, h) in enumerate(hashes(codes, place)):
             found = np.searchsorted(self.keys[k], h)
             found[found == len(self.keys[k])] = 0
@@ -104,10 +115,50 @@ class KneserNey:
                 p[at] = np.where(known[:, None], mass, p[at])
             index = np.full(len(codes), -1)
             index[at] = np.where(known, found, -1)
+            if self.rest:
+                missing, gone = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
+                missing[at] = ~known
+                if k > 2:
+                    hangs[at] |= unsure[at - 1]  # the context
+                if k > 1:
+                    gone[at] = absent[at - 1] | absent[at]  # no text holds an n-gram without its parts
+                    unsure = missing & ~gone
+                    hangs |= unsure
+                absent = missing & gone if k > 1 else missing
         logs = np.log2(np.maximum(p, 1e-30))
         logs[place == 0] = 0
+        return logs, hangs
+
+    def parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+        """log2 probability of each word under each language but for the characters that hang on the rest, its number of predicted characters, and the windows of those that hang."""
+        n = len(self.languages)
+        windows: list[list[str]] = [[] for _ in words]
+        if not words or not n:
+            return np.zeros((len(words), n), np.float32), np.zeros(len(words), np.int64), windows
+        texts = padded(words)
+        codes, place, number = laid_out(texts)
+        logs, hangs = self.places(codes, place)
+        for i in np.flatnonzero(hangs).tolist():
+            end = int(place[i]) + 1
+            windows[number[i]].append(texts[number[i]][max(0, end - ORDER) : end])
+        logs[hangs] = 0
         begins = np.flatnonzero(place == 0)
-        return np.add.reduceat(logs, begins, axis=0), np.diff(np.append(begins, len(codes))) - 1
+        return np.add.reduceat(logs, begins, axis=0), np.diff(np.append(begins, len(codes))) - 1, windows
+
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """log2 probability of each word under each language, and its number of predicted characters."""
+        if self.rest:
+            raise ValueError("not all n-grams are held: identify and totals join the rest")
+        return self.parts(words)[:2]
+
+    def verdict(self, logs: np.ndarray, n: int) -> tuple[str, float, float | None, bool]:
+        """(language or und, score, bits a character, rejected) of a text's log2 probabilities and characters."""
+        if not n or not self.languages:
+            return "und", 0.0, None, False
+        h = -logs / n
+        best = int(np.argmin(h))
+        p = np.exp(-self.temperature * np.sqrt(n) * (h - h[best]))
+        return self.languages[best], float(1 / p.sum()), float(h[best]), bool(h[best] > self.mean[best] + REJECT_SIGMAS * self.spread[best])
 
     @classmethod
     def of_grams(cls, got: pa.Table) -> KneserNey:
@@ -120,20 +171,26 @@ class KneserNey:
         base[column] = got.column("base").to_numpy()
         kinds = np.array([((k == 0) & (column == j)).sum() for j in range(len(languages))])
         floor = base / (kinds + 1)
+        keys, mass, weight = cls.laid(floor, k, h, column, got.column("mass").to_numpy(), got.column("weight").to_numpy())
+        n = len(languages)
+        return cls(languages, keys, mass, weight, floor.astype(np.float32), np.full(n, np.inf), np.ones(n))
+
+    @staticmethod
+    def laid(floor: np.ndarray, k: np.ndarray, h: np.ndarray, column: np.ndarray, masses: np.ndarray, weights: np.ndarray) -> tuple[list, list, list]:
+        """keys, mass and weight of cells (order, hash, number of the language, mass, weight)."""
         keys, mass, weight = [], [], []
         for order in range(ORDER):
             at = np.flatnonzero(k == order)
-            union, row = np.unique(h[at], return_inverse=True) if len(at) else (np.zeros(1, np.uint64), at)  # an order that fell away is one key that nothing meets
+            union, row = np.unique(h[at], return_inverse=True) if len(at) else (np.zeros(1, np.uint64), at)  # an order without n-grams is one key that nothing meets
             # what order 1 leaves goes to all characters alike, those that a language never shows too
             a = np.tile((floor * (order == 0)).astype(np.float32), (len(union), 1))
-            w = np.ones((len(union), len(languages)), np.float32)
-            a[row, column[at]] += got.column("mass").to_numpy()[at].astype(np.float32)
-            w[row, column[at]] = got.column("weight").to_numpy()[at]
+            w = np.ones((len(union), len(floor)), np.float32)
+            a[row, column[at]] += masses[at].astype(np.float32)
+            w[row, column[at]] = weights[at]
             keys.append(union)
             mass.append(a)
             weight.append(w)
-        n = len(languages)
-        return cls(languages, keys, mass, weight, floor.astype(np.float32), np.full(n, np.inf), np.ones(n))
+        return keys, mass, weight
 
     def calibrate_from(self, told: list[tuple]) -> None:
         """Temperature and spread of cross-entropies from (language, bits a character under each language, characters) of texts that gave no counts."""
@@ -166,42 +223,47 @@ class Scorer:
         self.rows: dict[str, int] = {}
         self.logs = np.zeros((0, len(model.languages)))
         self.sizes = np.zeros(0, np.int64)
+        self.windows: dict[int, list[str]] = {}
         self.held = 0
 
     def _learn(self, chunks: set[str]) -> None:
         if self.held > CACHE_BYTES:
-            self.rows, self.logs, self.sizes, self.held = {}, self.logs[:0], self.sizes[:0], 0
+            self.rows, self.logs, self.sizes, self.windows, self.held = {}, self.logs[:0], self.sizes[:0], {}, 0
         new = [c for c in chunks if c not in self.rows]
         parts = [words_of(c) for c in new]
         known: dict[str, int] = {}
         flat = [known.setdefault(w, len(known)) for p in parts for w in p]
-        logs, sizes = self.model.score(list(known))
+        logs, sizes, windows = self.model.parts(list(known))
         owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
         held, held_sizes = np.zeros((len(new), logs.shape[1])), np.zeros(len(new), np.int64)
         np.add.at(held, owner, logs[flat])
         np.add.at(held_sizes, owner, sizes[flat])
         self.rows.update(zip(new, range(len(self.logs), len(self.logs) + len(new)), strict=True))
         self.held += sum(map(len, new)) + (150 + 4 * logs.shape[1]) * len(new)
+        if any(windows):
+            for i, p in enumerate(parts, len(self.logs)):
+                if own := [x for w in p for x in windows[known[w]]]:
+                    self.windows[i] = own
+                    self.held += 200 + 8 * len(own)
+            self.held += 80 * sum(map(len, windows))
         self.logs, self.sizes = np.concatenate([self.logs, held.astype(np.float32)]), np.concatenate([self.sizes, held_sizes])
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
-        """(language or und, score, bits a character, rejected) of each text."""
-        m, out = self.model, []
+    def settled(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, int, list[str]]]:
+        """log2 probabilities of each text but for the characters that hang on the rest, its characters, and the windows of those that hang."""
         runs = [x.split() if x else [] for x in texts]
         want = set().union(*runs)
         if not all(map(self.rows.__contains__, want)):
             self._learn(want if self.held > CACHE_BYTES else want - self.rows.keys())
         for chunks in runs:
             at = np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
-            n = int(self.sizes[at].sum())
-            if not n or not m.languages:
-                out.append(("und", 0.0, None, False))
-                continue
-            h = -self.logs[at].sum(0, dtype=np.float64) / n
-            best = int(np.argmin(h))
-            p = np.exp(-m.temperature * np.sqrt(n) * (h - h[best]))
-            out.append((m.languages[best], float(1 / p.sum()), float(h[best]), bool(h[best] > m.mean[best] + REJECT_SIGMAS * m.spread[best])))
-        return out
+            windows = [x for i in at.tolist() for x in self.windows.get(i, ())] if self.windows else []
+            yield self.logs[at].sum(0, dtype=np.float64), int(self.sizes[at].sum()), windows
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
+        """(language or und, score, bits a character, rejected) of each text."""
+        if self.model.rest:
+            raise ValueError("not all n-grams are held: identify joins the rest")
+        return [self.model.verdict(logs, n) for logs, n, _ in self.settled(texts)]
 
 
 class GramCounts:
@@ -223,7 +285,7 @@ class GramCounts:
             return
         times = np.fromiter(self.words.values(), np.int64, len(words))
         self.words = Counter()
-        codes, place, number = laid_out(words)
+        codes, place, number = laid_out(padded(words))
         shorter = np.zeros(len(codes), np.uint64)
         for k, (at, h) in enumerate(hashes(codes, place)):
             key, first, inverse = np.unique(h, return_index=True, return_inverse=True)
@@ -294,8 +356,8 @@ def fit_languages(df: DataFrame, teaches: Column, lang: str = "lang", text: str
     """Learns from all rows where ``teaches`` holds and the language is not null.
 
     Counts, discounts and weights are grouped sums over the n-grams of every whole text. ``most_grams`` bounds what
-    comes to the driver and goes to the executors: if there are more n-grams, those of the lowest counts fall away and
-    their contexts' lower orders speak for them. About ``calibration_docs`` documents a language, picked by a hash of
+    comes to the driver and goes to the executors: if there are more n-grams, those of the lowest counts over all
+    languages stay in a table, which ``totals`` joins. About ``calibration_docs`` documents a language, picked by a hash of
     their id, give no counts but temperature and spread; they are scored where they lie.
     """
     spark = df.sparkSession
@@ -310,38 +372,98 @@ def fit_languages(df: DataFrame, teaches: Column, lang: str = "lang", text: str
     split = rows.select(F.col(lang).alias("lang"), (unit < share[F.col(lang)]).alias("aside"), F.col(text).alias("text"))
     grams = written(spark, counted_grams(split.filter("not aside")), "grams")
     made = written(spark, discounted(grams), "discounted")
-    by_count = sorted(((r["n"], r["count"]) for r in made.filter("k > 1").groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()), reverse=True)  # 1000 rows at most
-    least, total = 1001, 0
-    for n, count in by_count:
-        total += count
-        if total > most_grams:
-            break
-        least = n
-    least = 1 if total <= most_grams else least
-    got = made.filter((F.col("k") <= 1) | (F.col("n") >= least)).select("lang", "k", "h", "mass", "weight", "base").toArrow()
+    columns, rest = ["lang", "k", "h", "mass", "weight", "base"], None
+    if made.filter("k > 1").count() <= most_grams:
+        got = made.select(*columns).toArrow()
+    else:
+        cells = F.collect_list(F.struct("lang", "mass", "weight", "base")).alias("cells")  # a cell a language
+        every = written(spark, made.groupBy("k", "h").agg(F.sum("n").alias("n"), cells), "rest")
+        rest = every.written_path
+        # an n-gram's parts are as frequent as itself or more, so where it is held they are
+        often = F.floor(F.log2("n") * 32)
+        by_count = every.filter("k > 1").groupBy(often.alias("often")).agg(F.sum(F.size("cells")).alias("cells")).collect()  # 2,048 rows at most
+        least, total = 1 << 20, 0
+        for r in sorted(by_count, reverse=True):
+            total += r["cells"]
+            if total > most_grams:
+                break
+            least = r["often"]
+        got = every.filter((F.col("k") <= 1) | (often >= least)).select("k", "h", F.inline("cells")).select(*columns).toArrow()
     forget(grams, made)
     if not got.num_rows:
         return nothing
     model = KneserNey.of_grams(got)
-    held = spark.sparkContext.broadcast(model)
-
-    def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                logs, n = held.value.score(words_of(t))
-                if n.sum():
-                    rows.append({"lang": x, "bits": (-logs.sum(0) / n.sum()).tolist(), "n": int(n.sum())})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("lang", pa.string()), ("bits", pa.list_(pa.float64())), ("n", pa.int64())]))
-
-    told = split.filter("aside").select("lang", "text").mapInArrow(entropies, "lang string, bits array<double>, n long").collect()  # some numbers a calibration document
-    model.calibrate_from(sorted((r["lang"], r["bits"], r["n"]) for r in told))
+    model.rest = rest
+    told = totals(split.filter("aside").select("lang", "text"), model, ["lang"]).filter("n > 0").collect()  # some numbers a calibration document
+    model.calibrate_from(sorted((r["lang"], [-x / r["n"] for x in r["logs"]], r["n"]) for r in told))
     return model
 
 
 _scorers: dict[str, Scorer] = {}
 
 
+def _scorer(name: str, model: Broadcast) -> Scorer:
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = Scorer(model.value)
+    return _scorers[name]
+
+
+def window_logs(windows: DataFrame, model: KneserNey) -> DataFrame:
+    """(w, more): log2 probabilities of the last character of each distinct window, from the n-grams of the rest's table."""
+    spark = windows.sparkSession
+    languages, floor = {x: j for j, x in enumerate(model.languages)}, model.floor
+
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, place, number = laid_out(batch.column(0).to_pylist())
+            last = np.append(place[1:] == 0, True)
+            ends = last | np.append(last[1:], False)  # the last character's n-grams, and their contexts
+            for k, (at, h) in enumerate(hashes(codes, place)):
+                at, h = at[ends[at]], h[ends[at]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(number[at])), pa.array(np.full(len(at), k, np.int32)), pa.array(h.view(np.int64))], ["w", "k", "h"])
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = {(g["k"], g["h"]): g["cells"] for found in batch.column(1).to_pylist() for g in found if g["cells"]}
+            flat = [(k, h, languages[c["lang"]], c["mass"], c["weight"]) for (k, h), cells in own.items() for c in cells]
+            k, h, column, mass, weight = (np.array(x, kind) for x, kind in zip(zip(*flat, strict=True) if flat else [()] * 5, (int, np.int64, int, float, float), strict=True))
+            n = len(languages)
+            part = KneserNey(list(languages), *KneserNey.laid(floor, k, h.view(np.uint64), column, mass, weight), floor, np.ones(n), np.ones(n))
+            codes, place, _ = laid_out(batch.column(0).to_pylist())
+            logs = part.places(codes, place)[0][np.append(place[1:] == 0, True)] if len(codes) else np.zeros((0, n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(logs.astype(float).tolist(), pa.list_(pa.float64()))], ["w", "more"])
+
+    wanted = windows.mapInArrow(needs, "w string, k int, h long")
+    found = wanted.join(spark.read.schema(REST).parquet(model.rest).select("k", "h", "cells"), ["k", "h"], "left")
+    return found.groupBy("w").agg(F.collect_list(F.struct("k", "h", "cells")).alias("found")).mapInArrow(scores, "w string, more array<double>")  # 2 * ORDER - 1 n-grams a window
+
+
+def totals(df: DataFrame, model: KneserNey, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns, then logs (log2 probability of the text under each language) and n (its predicted characters).
+
+    Where the model is not held whole, the windows that hang on the rest go through a join, each distinct one once.
+    """
+    spark = df.sparkSession
+    held = spark.sparkContext.broadcast(model)  # bounded by MOST_GRAMS
+    name = uuid.uuid4().hex
+
+    def work(batch):
+        found = list(_scorer(name, held).settled(batch.column(text).to_pylist()))
+        return {"logs": [x.tolist() for x, _, _ in found], "n": [n for _, n, _ in found], "open": [w for _, _, w in found]}
+
+    schema = T.StructType([T.StructField("logs", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType()), T.StructField("open", T.ArrayType(T.StringType()))])
+    parts = map_batches(df.withColumn("row_", F.monotonically_increasing_id()), [*keep, "row_"], work, schema, [text])
+    if not model.rest:
+        return parts.select(*keep, "logs", "n")
+    parts = written(spark, parts, "parts")
+    hanging = parts.select("row_", F.explode("open").alias("w"))
+    more = F.array(*[F.sum(F.col("more")[j]) for j in range(len(model.languages))]).alias("more")
+    gained = hanging.join(window_logs(hanging.select("w").distinct(), model), "w").groupBy("row_").agg(more)
+    both = F.coalesce(F.zip_with("logs", "more", lambda x, y: x + y), "logs")
+    return parts.join(gained, "row_", "left").select(*keep, both.alias("logs"), "n")
+
+
 def identify(df: DataFrame, model: KneserNey, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, then lang_pred, score, bits (a character under that language) and rejected."""
     small_batches(df.sparkSession)
@@ -349,14 +471,14 @@ def identify(df: DataFrame, model: KneserNey, keep: list[str], text: str = "text
     name = uuid.uuid4().hex
 
     def work(batch):
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(held.value)
-        found = _scorers[name].predict(batch.column(text).to_pylist())
+        if held.value.rest:
+            found = [held.value.verdict(np.array(x), n) for x, n in zip(batch.column("logs").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+        else:
+            found = _scorer(name, held).predict(batch.column(text).to_pylist())
         return dict(zip(("lang_pred", "score", "bits", "rejected"), map(list, zip(*found, strict=True)), strict=True)) if found else {"lang_pred": [], "score": [], "bits": [], "rejected": []}
 
     schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return map_batches(df, keep, work, schema, [text])
+    return map_batches(totals(df, model, keep, text), keep, work, schema, ["logs", "n"]) if model.rest else map_batches(df, keep, work, schema, [text])
 
 
 def op9_language_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
